@@ -1 +1,25 @@
-"""Queries."""
+"""Queries: trained models, reported with their proven bounds."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from registry.base import (clean_vector_pool, query, rounded, vector_labels, vector_matrix)
+from widemargin.operators import bounds as D, master as P, pricing as R, svm as V
+
+
+def _report(spark, **values):
+    return spark.createDataFrame(pd.DataFrame({k: [v] for k, v in values.items()}))
+
+
+@query("linear_svm")
+def _(spark, sf_dir):
+    m = V.linear_svm(vector_matrix(spark, sf_dir), vector_labels(spark, sf_dir))
+    return _report(spark, objective=m.objective, b=m.b, sum_xi=m.sum_xi, status=m.status)
+
+
+@query("conic_svm")
+def _(spark, sf_dir):
+    m = V.conic_svm(vector_matrix(spark, sf_dir), vector_labels(spark, sf_dir), tol=1e-2)
+    return _report(spark, ub=m.objective, lb=m.lower, gap=m.gap, passes=m.passes, status=m.status)
