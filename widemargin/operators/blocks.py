@@ -56,15 +56,23 @@ def local_fit(cells: pd.DataFrame, counts: tuple[int, int], norm: str, cost: flo
         if min(weight[-2:]) < 0:
             raise ValueError("more rows than the class counts allow")
 
+        basis = None
+        if size > len(rows):
+            # the model lies in the span of the rows: work in an orthonormal basis of it
+            left, spread, basis = np.linalg.svd(z, full_matrices=False)
+            keep = spread > 1e-10 * max(spread[0], 1e-300)
+            z, basis = left[:, keep] * spread[keep], basis[keep]
+        inner = z.shape[1]
+
         def evaluate(points, width):
             points = np.atleast_2d(points)
-            return split_terms(hinge_terms(z, y, points, width, weight), len(points), size)
+            return split_terms(hinge_terms(z, y, points, width, weight), len(points), inner)
 
-        rays, eye = np.zeros(size, bool), np.eye(size)
+        rays, eye = np.zeros(inner, bool), np.eye(inner)
         bound = squared_bound(cost) if norm == "squared" else combination_bound(eye, "libre", rays)
-        found = minimise(evaluate, Regulariser(eye, kind=norm), combination_set("libre", rays), np.zeros(size + 1),
+        found = minimise(evaluate, Regulariser(eye, kind=norm), combination_set("libre", rays), np.zeros(inner + 1),
                          cost, bound, tol, 200)
-        w = found.point[:-1]
+        w = found.point[:-1] if basis is None else found.point[:-1] @ basis
         keep = np.abs(w) > 0
         if not keep.any():
             features, w, keep = np.array([-1], dtype="int64"), np.zeros(1), np.ones(1, bool)

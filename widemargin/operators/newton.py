@@ -135,6 +135,12 @@ class Regulariser:
 
 def quadratic_step(bend, slope, start, project, rounds=400):
     """min slope.d + d'Bd/2 with start+d in the set: operator splitting on one eigenbasis."""
+    # the plain Newton point is the answer when it lies in the set
+    free = start - np.linalg.solve(bend, slope)
+    clipped = free.copy()
+    clipped[:-1] = project(free[:-1])
+    if np.allclose(clipped, free, rtol=1e-9, atol=1e-12):
+        return free
     values, basis = np.linalg.eigh(bend)
     values = np.maximum(values, 1e-10 * max(values[-1], 1e-10))
     target = slope - bend @ start
@@ -142,11 +148,6 @@ def quadratic_step(bend, slope, start, project, rounds=400):
     def solve(rhs, rho):
         return basis @ ((basis.T @ rhs) / (values + rho))
 
-    free = solve(-target, 0.0)
-    clipped = free.copy()
-    clipped[:-1] = project(free[:-1])
-    if np.allclose(clipped, free, rtol=1e-9, atol=1e-12):
-        return free
     rho = np.sqrt(values[0] * values[-1]) + 1e-3 * np.median(values)
     dual, fixed = np.zeros_like(start), start.copy()
     for turn in range(rounds):
@@ -282,7 +283,15 @@ def combination_bound(gram: np.ndarray, combination: str, rays: np.ndarray):
     points = ~rays
     signed = rays if combination in ("libre", "afin") else np.ones(len(rays), bool)
 
+    everything_free = not signed.any()
+    inverse = np.linalg.pinv(gram, rcond=1e-11, hermitian=True) if everything_free and len(gram) else None
+
     def cone(q, total):
+        if everything_free:
+            x = inverse @ q
+            # q outside the range of the Gram matrix gives no bound
+            solved = np.linalg.norm(gram @ x - q) <= 1e-6 * (1.0 + np.linalg.norm(q))
+            return total / max(1.0, np.sqrt(max(q @ x, 0.0))) if solved else 0.0
         x, solved = nonnegative_fit(gram, q, signed)
         return total / max(1.0, np.sqrt(max(x @ gram @ x, 0.0))) if solved else 0.0
 
@@ -301,7 +310,6 @@ def combination_bound(gram: np.ndarray, combination: str, rays: np.ndarray):
     def affine(q, total):
         """W'u = q + shift on every point, the largest shift with |u| <= 1."""
         one = np.ones(len(q))
-        inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
         a, b, c = one @ inverse @ one, one @ inverse @ q, q @ inverse @ q
         root = b * b - a * (c - 1.0)
         if a <= 1e-12 or root < 0:
@@ -328,12 +336,12 @@ def box_bound(direction: np.ndarray, m_box: float | None, cut: str | None = None
     """Lower bound of the pricing problem over the box, from duals."""
     def bound(q, total, point):
         reach = direction + q
-        if m_box is None:
-            return total if np.abs(reach).max(initial=0.0) <= 1e-9 else -np.inf
+        # without a box: the bound over a box ten times as wide as the point reached
+        high = m_box if m_box is not None else 10.0 * max(1.0, np.abs(point[:-1]).max(initial=0.0))
         if cut == "sign":
             free = np.where(direction > 0, np.maximum(-reach, 0.0),
                             np.where(direction < 0, np.maximum(reach, 0.0), np.abs(reach)))
-            return total - m_box * free.sum()
+            return total - high * free.sum()
         if cut == "halfspace":
             # the multiplier of the cut is a weighted median of reach/direction
             some = np.nonzero(direction)[0]
@@ -342,7 +350,7 @@ def box_bound(direction: np.ndarray, m_box: float | None, cut: str | None = None
                 weight = np.cumsum(np.abs(direction[order]))
                 mid = order[np.searchsorted(weight, 0.5 * weight[-1])]
                 reach = reach - max(0.0, reach[mid] / direction[mid]) * direction
-        return total - m_box * np.abs(reach).sum()
+        return total - high * np.abs(reach).sum()
     return bound
 
 
