@@ -68,7 +68,7 @@ def text_labels(spark, sf_dir) -> DataFrame:
 
 def text_terms(spark, sf_dir, n_max: int = 2) -> DataFrame:
     """(row_id, term, tf) of the labelled documents."""
-    return B.count_terms(B.ngrams(B.tokenize(labelled_texts(spark, sf_dir)), 1, n_max))
+    return B.term_counts(B.tokenize(labelled_texts(spark, sf_dir)), 1, n_max)
 
 
 def text_vocab(spark, sf_dir) -> DataFrame:

@@ -157,7 +157,7 @@ def _(spark, sf_dir):
     unlabelled = (table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("clean_data"))
                   .unionByName(table(spark, sf_dir, "pages").select(
                       (F.col("page_id") + 1000000).alias("row_id"), F.col("html").alias("clean_data"))))
-    terms = B.count_terms(B.ngrams(B.tokenize(unlabelled), 1, 2))
+    terms = B.term_counts(B.tokenize(unlabelled), 1, 2)
     return rounded(B.tfidf_matrix(terms, text_vocab(spark, sf_dir)), "value")
 
 

@@ -26,21 +26,27 @@ def hot_keys(df: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE) -> D
     return hot_from_counts(counts, key, "n_rows", rows_per_slice)
 
 
+def with_slice(df: DataFrame, key: str, spread_by: str, hot: DataFrame) -> DataFrame:
+    """Adds _slice: the part of a hot key a row belongs to, 0 for other keys."""
+    return (df.join(F.broadcast(hot), key, "left")
+            .withColumn("_slice", F.when(F.col("slices").isNull(), F.lit(0))
+                        .otherwise(F.pmod(F.xxhash64(spread_by), F.col("slices")).cast("int")))
+            .drop("slices"))
+
+
 def salted_join(big: DataFrame, other: DataFrame, key: str, spread_by: str,
                 hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """Equi-join on ``key`` where rows of hot keys are spread over slices.
 
     ``spread_by`` is a column of ``big`` with many values inside one key.  The
     rows of ``other`` are repeated once per slice, for hot keys only, so every
-    pair still meets exactly once.  ``how`` is "inner" or "left".
+    pair still meets exactly once.  A ``big`` that already has its _slice, for the
+    same ``hot``, keeps its partitioning.  ``how`` is "inner" or "left".
     """
     if hot is None:
         hot = hot_keys(big, key)
+    left = big if "_slice" in big.columns else with_slice(big, key, spread_by, hot)
     hot = F.broadcast(hot)
-    left = (big.join(hot, key, "left")
-            .withColumn("_slice", F.when(F.col("slices").isNull(), F.lit(0))
-                        .otherwise(F.pmod(F.xxhash64(spread_by), F.col("slices")).cast("int")))
-            .drop("slices"))
     right = (other.join(hot, key, "left")
              .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)))
              .drop("slices"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from widemargin.functions.skew import salted_join
 from widemargin.operators import features as B
 from widemargin.operators.master import MasterState
 from widemargin.operators.newton import Regulariser, combination_bound, combination_set, minimise, squared_bound
@@ -109,11 +110,14 @@ def fit_blocks(matrix: DataFrame, labels: DataFrame, groups: DataFrame, bags: Da
                              | (F.col("n_features") > MAX_TASK_FEATURES))
     # one row per model
     known = cut_lineage(sizes)
-    cells = B.slice_features_set(matrix, groups, hot)
-    if bags is None:
-        labelled = cells.join(labels.select("row_id", "y"), "row_id")
-    else:
-        labelled = cells.join(in_bags, ["model_id", "row_id"])
+    # labels first: a matrix that is already partitioned by row needs no shuffle for them
+    cells = matrix.join(labels.select("row_id", "y"), "row_id")
+    if bags is not None:
+        cells = cells.join(bags.select("row_id").distinct(), "row_id", "left_semi")
+    labelled = (salted_join(cells, groups, "feature_id", "row_id", hot)
+                .select("model_id", "row_id", "y", "feature_id", "value"))
+    if bags is not None:
+        labelled = labelled.join(bags, ["model_id", "row_id"], "left_semi")
     small = known.where(~F.col("large"))
     # the left join keeps a model without any cell; only models below the cell limit are gathered
     task_input = small.join(labelled, "model_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from widemargin.operators.screening import weighted_feature_sums
+from widemargin.session import cut_lineage
 
 COMBINATIONS = ("convexo", "afin", "conico", "mayor_uno", "libre")
 
@@ -80,27 +81,36 @@ def dual_bound(matrix: DataFrame, duals: DataFrame, cost: float = 1.0,
     The bounds use repaired duals (class sums equalised): lb_conic bounds the
     conic problem, lb_box the pricing problem with gradient ``direction`` and box.
     """
-    # persisted: read twice, by the row sums and by the feature sums
-    given = duals.agg(F.sum("pi").alias("sum_pi"), F.sum(F.col("y") * F.col("pi")).alias("sum_ypi"),
-                      F.max("pi").alias("max_pi"))
-    repaired = equalised_duals(duals)
-    total = repaired.agg(F.sum("pi").alias("_sp"))
-    given_norm = dual_feature_sums(matrix, duals).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm_xtypi"))
-    sums = dual_feature_sums(matrix, repaired)
+    # written once: the duals meet the row totals and the cells
+    duals = cut_lineage(duals)
+    plus, minus = F.col("y") > 0, F.col("y") < 0
+    totals = duals.agg(F.sum("pi").alias("sum_pi"), F.sum(F.col("y") * F.col("pi")).alias("sum_ypi"),
+                       F.max("pi").alias("max_pi"), F.sum(F.when(plus, F.col("pi")).otherwise(0.0)).alias("_p"),
+                       F.sum(F.when(minus, F.col("pi")).otherwise(0.0)).alias("_q")).withColumn("_one", F.lit(1))
+    f_plus = F.when(F.col("_p") > F.col("_q"), F.col("_q") / F.col("_p")).otherwise(F.lit(1.0))
+    f_minus = F.when(F.col("_q") > F.col("_p"), F.col("_p") / F.col("_q")).otherwise(F.lit(1.0))
+    # one pass over the cells gives the sums of both classes, and with them the given and the repaired duals
+    cell = F.col("value") * F.col("pi")
+    sums = (matrix.join(duals.where(F.col("pi") != 0).select("row_id", "y", "pi"), "row_id")
+            .groupBy("feature_id").agg(F.sum(F.when(plus, cell).otherwise(0.0)).alias("_sp"),
+                                       F.sum(F.when(minus, cell).otherwise(0.0)).alias("_sn")))
+    zero = F.lit(0.0)
     if direction is not None:
         sums = sums.join(direction.select("feature_id", F.col("grad").alias("_g")), "feature_id", "full_outer")
-        distance = F.sum(F.abs(F.coalesce("s", F.lit(0.0)) + F.coalesce("_g", F.lit(0.0))))
     else:
-        distance = F.lit(None).cast("double")
-    norms = sums.agg(F.coalesce(F.sqrt(F.sum(F.col("s") * F.col("s"))), F.lit(0.0)).alias("_n"), distance.alias("_l1"))
-    out = given
-    for part in (total, given_norm, norms):
-        out = out.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    norm = F.coalesce("norm_xtypi", F.lit(0.0))
-    box = F.lit(None).cast("double") if m_box is None else F.col("_sp") - F.lit(float(m_box)) * F.col("_l1")
+        sums = sums.withColumn("_g", zero)
+    sums = sums.select(F.coalesce("_sp", zero).alias("_sp"), F.coalesce("_sn", zero).alias("_sn"),
+                       F.coalesce("_g", zero).alias("_g"), F.lit(1).alias("_one")).join(F.broadcast(totals), "_one")
+    given, repaired = F.col("_sp") - F.col("_sn"), f_plus * F.col("_sp") - f_minus * F.col("_sn")
+    norms = sums.agg(F.sqrt(F.sum(given * given)).alias("_ng"), F.sqrt(F.sum(repaired * repaired)).alias("_n"),
+                     F.sum(F.abs(repaired + F.col("_g"))).alias("_l1")).withColumn("_one", F.lit(1))
+    out = totals.join(F.broadcast(norms), "_one")
+    norm, total = F.coalesce("_ng", zero), f_plus * F.col("_p") + f_minus * F.col("_q")
+    with_box = direction is not None and m_box is not None
+    box = total - F.lit(float(m_box)) * F.coalesce("_l1", zero) if with_box else F.lit(None).cast("double")
     return out.select("sum_pi", "sum_ypi", "max_pi", norm.alias("norm_xtypi"),
                       ((norm <= 1 + 1e-9) & (F.abs("sum_ypi") <= 1e-6) & (F.col("max_pi") <= cost + 1e-9)).alias("feasible"),
-                      (F.col("_sp") / F.greatest(F.lit(1.0), F.col("_n"))).alias("lb_conic"), box.alias("lb_box"))
+                      (total / F.greatest(F.lit(1.0), F.coalesce("_n", zero))).alias("lb_conic"), box.alias("lb_box"))
 
 
 def combination_feasibility(theta: DataFrame, tol: float = 1e-6) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from widemargin.functions.hashing import hash32
 from widemargin.functions.ranking import distributed_rank, take_per_group
 from widemargin.functions.skew import hot_from_counts, salted_join
-from widemargin.functions.text import word_ngrams, word_tokens
+from widemargin.functions.text import run_lengths, word_ngrams, word_tokens
 from widemargin.session import spread_small
 
 
@@ -60,10 +60,17 @@ def ngrams(tokenized: DataFrame, n_min: int = 1, n_max: int = 2) -> DataFrame:
 
 
 def count_terms(terms: DataFrame) -> DataFrame:
-    """(row_id, term, tf)."""
+    """(row_id, term, tf) of any n-gram rows."""
     return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_counts(tokenized: DataFrame, n_min: int = 1, n_max: int = 2) -> DataFrame:
+    """(row_id, term, tf) with one input row per text: counted inside the row, without a shuffle."""
+    grams = tokenized.select("row_id", F.sort_array(word_ngrams(F.col("tokens"), n_min, n_max)).alias("g"))
+    return (grams.select("row_id", F.explode(run_lengths(F.col("g"))).alias("r"))
+            .select("row_id", "r.term", "r.tf"))
+
+
 def vocabulary_counts(term_counts: DataFrame, n_rows: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """(term, df, idf) of the terms inside the document-frequency limits."""
     return (term_counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

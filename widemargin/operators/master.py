@@ -12,13 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from widemargin.functions.skew import hot_keys
+from widemargin.functions.skew import hot_keys, with_slice
 from widemargin.operators.bounds import hinge_duals
 from widemargin.operators.newton import (WIDTHS, NewtonResult, Regulariser, combination_bound, combination_set,
                                          minimise)
 from widemargin.operators.pool import MAX_GRAM_COLUMNS, POOL_SCHEMA, combine_columns, gram_matrix, project_rows
-from widemargin.operators.rows import PackedRows, block_evaluator, block_scores, pack_blocks
-from widemargin.session import cut_lineage
+from widemargin.operators.rows import PackedRows, block_evaluator, block_scores, extend_rows, label_rows, pack_rows
+from widemargin.session import bucketed, cut_lineage
 
 # fixed value: weight of the ridge term, which the reported objective leaves out
 RIDGE = 1e-6
@@ -68,13 +68,17 @@ class MasterState:
 
     def __init__(self, matrix: DataFrame, labels: DataFrame, cost: float = 1.0, hot: DataFrame | None = None):
         self.spark = matrix.sparkSession
-        self.matrix, self.labels, self.cost = matrix, labels, float(cost)
+        self.labels, self.cost = labels, float(cost)
+        matrix = matrix.select("row_id", "feature_id", "value")
         # measured once per run: the joins of every iteration reuse it
-        self.hot = cut_lineage(hot_keys(matrix, "feature_id")) if hot is None else hot
+        self.hot = cut_lineage(hot_keys(matrix, "feature_id") if hot is None else hot)
+        # two stored copies, so that no iteration shuffles the matrix: by feature for X w, by row for X'(y*pi)
+        self.by_feature = bucketed(with_slice(matrix, "feature_id", "row_id", self.hot), "feature_id", "_slice")
+        self.matrix = bucketed(matrix, "row_id")
         self.columns: list[dict] = []
         self.active: set[str] = set()
         self.pool_w: DataFrame | None = None
-        self.z: DataFrame | None = None
+        self.row_table: DataFrame | None = None
         self.gram = np.zeros((0, 0))
         self.rows: PackedRows | None = None
 
@@ -90,13 +94,15 @@ class MasterState:
         names = [c["col_id"] for c in fresh]
         index = F.broadcast(column_index(self.spark, names, len(known)))
         new_w = cut_lineage(pool_w.select("col_id", "feature_id", "weight").join(index.select("col_id"), "col_id", "left_semi"))
-        new_z = cut_lineage(project_rows(self.matrix, new_w, self.hot).join(index, "col_id").select("row_id", "k", "z"))
+        new_z = cut_lineage(project_rows(self.by_feature, new_w, self.hot).join(index, "col_id").select("row_id", "k", "z"))
         self._extend_gram(names, new_w)
         self.columns += fresh
         self.active |= set(names)
         self.pool_w = new_w if self.pool_w is None else self.pool_w.unionByName(new_w)
-        self.z = new_z if self.z is None else self.z.unionByName(new_z)
-        old, self.rows = self.rows, pack_blocks(self.labels, self.z)
+        # rows keep their buckets: only the entries of the new columns are shuffled
+        rows = label_rows(self.labels, new_z) if self.row_table is None else extend_rows(self.row_table, new_z)
+        self.row_table = bucketed(rows, "row_id")
+        old, self.rows = self.rows, pack_rows(self.row_table)
         if old is not None:
             old.release()
         return names

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-# widths of the smoothed hinge, from a curved start to a sharp end
-WIDTHS = (8.0, 3.0, 1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 0.001)
+# widths of the smoothed hinge, from a curved start to a sharp end; halving keeps rows inside the curved part
+WIDTHS = tuple(8.0 / 2 ** k for k in range(14))
 STEPS = np.array([1.0, 0.7, 0.4, 0.2, 0.08, 0.02, 0.004])
 
 
@@ -209,9 +209,10 @@ def minimise(evaluate, regulariser: Regulariser, project, start: np.ndarray, cos
                 best.lower, best.width, best.dual_point = float(bound), width, points[0]
         return sums, regulariser.value(points, delta) + cost * sums["smooth"]
 
-    damping = 1e-8
+    damping, scale = 1e-8, np.zeros(len(point))
     for width in widths:
         delta = 1e-2 * width
+        scale = 0.5 * scale
         sums, values = look(point[None, :], width)
         current = values[0]
         while passes < max_passes and best.gap > tol:
@@ -219,21 +220,23 @@ def minimise(evaluate, regulariser: Regulariser, project, start: np.ndarray, cos
             slope[:-1] -= cost * (sums["pos"] - sums["neg"])
             slope[-1] -= cost * (sums["mass"][0] - sums["mass"][1])
             bend = bend + cost * sums["curvature"]
-            scale = max(np.trace(bend) / len(bend), 1e-8)
-            bend = bend + damping * scale * np.eye(len(bend))
+            # per coordinate, and with memory: without rows in the curved part the damping must still hold
+            scale = np.maximum(np.diag(bend), np.maximum(scale, 1e-8))
+            extra = damping * scale
             # a flat bias would otherwise jump
-            bend[-1, -1] += 1e-3 * scale
+            extra[-1] += 1e-3 * scale[-1]
+            bend = bend + np.diag(extra)
             move = quadratic_step(bend, slope, point, project) - point
             trial = point + STEPS[:, None] * move
             found, values = look(trial, width)
             k = int(np.argmin(values))
             gain = current - values[k]
             if k >= 3 or gain <= 0:
-                damping = min(max(damping * 30, 1e-6), 1e2)
+                damping = min(max(damping * 30, 1e-5), 1e4)
             elif k == 0:
                 damping = max(damping / 30, 1e-8)
             if gain <= 0:
-                if damping >= 1.0 or np.linalg.norm(move) <= 1e-9 * (1 + np.linalg.norm(point)):
+                if damping >= 1e4 or np.linalg.norm(move) <= 1e-9 * (1 + np.linalg.norm(point)):
                     break
                 continue
             point, current = trial[k], values[k]

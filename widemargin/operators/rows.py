@@ -28,19 +28,35 @@ class PackedRows:
         self._cached.unpersist()
 
 
-def pack_blocks(labels: DataFrame, z: DataFrame) -> PackedRows:
-    """Blocks of rows (row_id, y) with their sparse entries (row_id, k, z).
-
-    A row holds at most one entry per pool column, so the list per row is bounded
-    by the pool.  A row without entries stays, with score b.  Every pass returns
-    one partial sum per partition, so there are at most as many partitions as
-    cores, and fewer for small inputs.
-    """
-    spark = labels.sparkSession
+def row_cells(z: DataFrame) -> DataFrame:
+    """(row_id, ks, zs) from entries (row_id, k, z): at most one entry per pool column and row."""
     cells = z.groupBy("row_id").agg(F.collect_list(F.struct("k", "z")).alias("c"))
-    rows = (labels.select("row_id", "y").join(cells, "row_id", "left")
-            .select("row_id", "y", F.col("c.k").alias("ks"), F.col("c.z").alias("zs")))
+    return cells.select("row_id", F.col("c.k").alias("ks"), F.col("c.z").alias("zs"))
+
+
+def label_rows(labels: DataFrame, z: DataFrame) -> DataFrame:
+    """(row_id, y, ks, zs): every labelled row, with its entries if it has any."""
+    return labels.select("row_id", "y").join(row_cells(z), "row_id", "left")
+
+
+def extend_rows(rows: DataFrame, z: DataFrame) -> DataFrame:
+    """Append the entries of new columns; ``rows`` keeps its partitioning by row_id."""
+    more = row_cells(z).withColumnsRenamed({"ks": "_ks", "zs": "_zs"})
+
+    def both(a, b, kind):
+        none = F.array().cast(kind)
+        return F.concat(F.coalesce(a, none), F.coalesce(b, none))
 
+    return rows.join(more, "row_id", "left").select(
+        "row_id", "y", both("ks", "_ks", "array<int>").alias("ks"), both("zs", "_zs", "array<double>").alias("zs"))
+
+
+def pack_rows(rows: DataFrame) -> PackedRows:
+    """Cached blocks of rows (row_id, y, ks, zs).
+
+    Every pass returns one partial sum per partition, so there are at most as
+    many partitions as cores, and fewer for small inputs.
+    """
     def to_blocks(batches):
         for batch in batches:
             if len(batch) == 0:
@@ -52,12 +68,17 @@ def pack_blocks(labels: DataFrame, z: DataFrame) -> PackedRows:
                                 "y": [batch["y"].to_numpy(float).tobytes()], "starts": [starts.tobytes()],
                                 "ks": [np.concatenate(ks).tobytes()], "zs": [np.concatenate(zs).tobytes()]})
 
-    cores = spark.sparkContext.defaultParallelism
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     blocks = rows.mapInPandas(to_blocks, BLOCK_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
     size = blocks.agg(F.sum(F.length("zs") + F.length("y"))).first()[0] or 0
     return PackedRows(blocks, int(min(cores, max(1, size // _TASK_BYTES))))
 
 
+def pack_blocks(labels: DataFrame, z: DataFrame) -> PackedRows:
+    """Blocks of rows (row_id, y) with their sparse entries (row_id, k, z); a row without entries scores b."""
+    return pack_rows(label_rows(labels, z))
+
+
 def block_chunks(block, size: int):
     """(ids, y, dense Z) pieces of one block, each within the working memory."""
     ids, y = np.frombuffer(block.ids, "int64"), np.frombuffer(block.y)

@@ -128,7 +128,7 @@ def subspace_svm(matrix: DataFrame, labels: DataFrame, cost: float = 1.0, tol: f
     duals, lower, solution, passes = cut_lineage(equalised_duals(start)), -np.inf, None, 0
     lengths, totals = [], []
     for turn in range(iterations):
-        sums = cut_lineage(dual_feature_sums(matrix, duals))
+        sums = cut_lineage(dual_feature_sums(state.matrix, duals))
         length = sums.agg(F.sqrt(F.sum(F.col("s") * F.col("s")))).first()[0] or 0.0
         total = duals.agg(F.sum("pi")).first()[0] or 0.0
         if length <= 1e-12:

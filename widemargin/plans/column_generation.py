@@ -96,9 +96,11 @@ def _idle(history: list[tuple], active: set[str], periods: int, threshold: float
 
 class _Loop:
     def __init__(self, matrix, labels, pool, pool_w, settings: Settings, run_id: str, state_dir: str | None):
-        self.spark, self.matrix, self.labels, self.s = matrix.sparkSession, matrix, labels, settings
+        self.spark, self.labels, self.s = matrix.sparkSession, labels, settings
         self.run_id, self.state_dir = run_id, state_dir
         self.state = MasterState(matrix, labels, settings.cost)
+        # the row-partitioned copy serves every join on row_id
+        self.matrix = matrix = self.state.matrix
         self.state.add(pool, pool_w)
         self.n_init = len(self.state.columns)
         self.gradient: DataFrame | None = None
