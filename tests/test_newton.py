@@ -13,7 +13,7 @@ vectors = st.lists(st.floats(-20, 20), min_size=2, max_size=8).map(np.array)
 
 
 def evaluator(z, y):
-    def evaluate(points, width):
+    def evaluate(points, width, after=None):
         points = np.atleast_2d(points)
         return split_terms(hinge_terms(z, y, points, width), len(points), z.shape[1])
     return evaluate

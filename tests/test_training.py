@@ -35,7 +35,7 @@ def pool(spark):
 
 
 def optimum(dense, y, size):
-    def evaluate(points, width):
+    def evaluate(points, width, after=None):
         points = np.atleast_2d(points)
         return split_terms(hinge_terms(dense, y, points, width), len(points), size)
     rays = np.zeros(size, bool)

@@ -65,7 +65,7 @@ def local_fit(cells: pd.DataFrame, counts: tuple[int, int], norm: str, cost: flo
             z, basis = left[:, keep] * spread[keep], basis[keep]
         inner = z.shape[1]
 
-        def evaluate(points, width):
+        def evaluate(points, width, after=None):
             points = np.atleast_2d(points)
             return split_terms(hinge_terms(z, y, points, width, weight), len(points), inner)
 

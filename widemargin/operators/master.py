@@ -240,7 +240,7 @@ def solve_master_stored_slack(pool: DataFrame, pool_w: DataFrame, pool_xi: DataF
     linear = cost * slack["s"].fillna(0.0).to_numpy()
     rays = np.zeros(len(names), bool)
 
-    def no_rows(points, width):
+    def no_rows(points, width, after=None):
         m, size = len(points), len(names)
         return {"hinge": np.zeros(m), "smooth": np.zeros(m), "mass": np.zeros(2), "pos": np.zeros(size),
                 "neg": np.zeros(size), "curvature": np.zeros((size + 1, size + 1))}

@@ -195,26 +195,36 @@ def minimise(evaluate, regulariser: Regulariser, project, start: np.ndarray, cos
     point, passes = start.astype(float), 0
     best = NewtonResult(point, np.inf, -np.inf, np.nan, widths[0], point, 0, "max_passes")
 
-    def look(points, width):
+    def bounded(sums, width, at):
+        if lower is not None:
+            bound = lower(*balanced(sums, cost), at)
+            if bound > best.lower:
+                best.lower, best.width, best.dual_point = float(bound), width, at
+
+    def look(points, width, after):
+        """One pass: sums at ``width``, and for the first point at the width ``after`` as well."""
         nonlocal passes
         passes += 1
-        sums = evaluate(points, width)
+        sums = evaluate(points, width, after)
         exact = regulariser.value(points, with_ridge=False) + cost * sums["hinge"]
         k = int(np.argmin(exact))
         if exact[k] < best.objective:
             best.point, best.objective, best.hinge = points[k], float(exact[k]), float(sums["hinge"][k])
-        if lower is not None:
-            bound = lower(*balanced(sums, cost), points[0])
-            if bound > best.lower:
-                best.lower, best.width, best.dual_point = float(bound), width, points[0]
+        bounded(sums, width, points[0])
+        if sums.get("next"):
+            bounded(sums["next"], after, points[0])
         return sums, regulariser.value(points, delta) + cost * sums["smooth"]
 
-    damping, scale = 1e-8, np.zeros(len(point))
-    for width in widths:
+    damping, scale, ahead = 1e-8, np.zeros(len(point)), None
+    for place, width in enumerate(widths):
         delta = 1e-2 * width
         scale = 0.5 * scale
-        sums, values = look(point[None, :], width)
-        current = values[0]
+        after = widths[place + 1] if place + 1 < len(widths) else None
+        if ahead is None:
+            sums, values = look(point[None, :], width, after)
+        else:
+            sums, values = ahead, regulariser.value(point[None, :], delta) + cost * ahead["smooth"]
+        current, ahead = values[0], sums.get("next")
         while passes < max_passes and best.gap > tol:
             slope, bend = regulariser.slope_bend(point, delta)
             slope[:-1] -= cost * (sums["pos"] - sums["neg"])
@@ -228,7 +238,7 @@ def minimise(evaluate, regulariser: Regulariser, project, start: np.ndarray, cos
             bend = bend + np.diag(extra)
             move = quadratic_step(bend, slope, point, project) - point
             trial = point + STEPS[:, None] * move
-            found, values = look(trial, width)
+            found, values = look(trial, width, after)
             k = int(np.argmin(values))
             gain = current - values[k]
             if k >= 3 or gain <= 0:
@@ -240,10 +250,8 @@ def minimise(evaluate, regulariser: Regulariser, project, start: np.ndarray, cos
                     break
                 continue
             point, current = trial[k], values[k]
-            if k == 0:
-                sums = found
-            else:
-                sums, _ = look(point[None, :], width)
+            sums = found if k == 0 else look(point[None, :], width, after)[0]
+            ahead = sums.get("next")
             if gain <= (1e-3 if width >= 1.0 else 1e-6) * max(1.0, abs(current)) and k < 3:
                 break
         if best.gap <= tol or passes >= max_passes:

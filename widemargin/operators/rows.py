@@ -127,21 +127,26 @@ def split_terms(flat, n_points: int, size: int):
 
 
 def block_evaluator(packed: PackedRows, size: int, columns: np.ndarray | None = None):
-    """A function (points, eps) -> sums, each call one pass over the blocks."""
+    """A function (points, eps, next_eps) -> sums, each call one pass over the blocks.
+
+    With ``next_eps`` the sums of the first point at that width come along as "next".
+    """
     used = size if columns is None else len(columns)
     blocks, tasks = packed.blocks, packed.tasks
 
-    def evaluate(points, eps):
+    def evaluate(points, eps, next_eps=None):
         points = np.atleast_2d(points)
-
-        length = 2 * len(points) + 2 + 2 * used + (used + 1) * (used + 2) // 2
+        asked = [(points, eps)] + ([(points[:1], next_eps)] if next_eps else [])
+        lengths = [2 * len(p) + 2 + 2 * used + (used + 1) * (used + 2) // 2 for p, _ in asked]
+        length = sum(lengths)
 
         def total(batches):
             out = np.zeros(length)
             for batch in batches:
                 for block in batch.itertuples(index=False):
                     for _, y, z in block_chunks(block, size):
-                        out += hinge_terms(z if columns is None else z[:, columns], y, points, eps)
+                        z = z if columns is None else z[:, columns]
+                        out += np.concatenate([hinge_terms(z, y, p, e) for p, e in asked])
             return out
 
         if tasks * length * 8 <= _DRIVER_BYTES:
@@ -154,7 +159,10 @@ def block_evaluator(packed: PackedRows, size: int, columns: np.ndarray | None =
             sums = slots.groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
             flat = np.zeros(length)
             flat[sums["slot"].to_numpy()] = sums["value"].to_numpy()
-        return split_terms(flat, len(points), used)
+        sums = split_terms(flat[:lengths[0]], len(points), used)
+        if next_eps:
+            sums["next"] = split_terms(flat[lengths[0]:], 1, used)
+        return sums
 
     return evaluate
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from widemargin.operators import bounds as D, history as H, metrics as M, screening as S
 from widemargin.operators.master import MasterSolution, MasterState
-from widemargin.operators.pool import (POOL_SCHEMA, dedupe_columns, existing_pairs, sample_unit_columns,
+from widemargin.operators.pool import (POOL_SCHEMA, column_signatures, existing_pairs, sample_unit_columns,
                                        unit_columns)
 from widemargin.operators.pricing import WORKING_FEATURES, UnitRows, price_column
 from widemargin.operators.svm import feature_list
@@ -162,27 +162,33 @@ class _Loop:
         return added
 
     def price(self):
+        """Ids of the priced column and, with max_rays, of the unit rays of its large weights."""
         box = self.s.pricing_box if self.s.pricing_box is not None else self.m_box
         column = price_column(self.matrix, self.labels, self.direction(), self.s.cost, box, self.s.cut,
                               self.s.pricing_tol, unit_rows=self.unit_rows)
-        # a useful column has a priced value below that of the current model
-        name = f"p_{self.run_id}_{self.i:03d}"
         if column.norm_w <= 1e-9:
-            return [], column
+            return []
         weights = column.weights
         if self.s.combination == "conico":
             weights = weights.withColumn("weight", F.col("weight") / column.norm_w)
+        name = f"p_{self.run_id}_{self.i:03d}"
         pool = self.spark.createDataFrame([(name, "point", "pricing", self.i, column.b)], POOL_SCHEMA)
         pool_w = weights.select(F.lit(name).alias("col_id"), "feature_id", "weight")
-        if self.s.stop_on_repeat:
-            old, old_w = self.state.frames()
-            same = dedupe_columns(old.unionByName(pool), old_w.unionByName(pool_w)).where(
-                (F.col("col_id") == name) & (F.col("kept") != name)).limit(1).collect()
-            twin = dedupe_columns(old.unionByName(pool), old_w.unionByName(pool_w)).where(
-                (F.col("kept") == name) & (F.col("col_id") != name)).limit(1).collect()
-            if same or twin:
-                return [], column
-        return self._append(pool, pool_w), column
+        if self.s.stop_on_repeat and self._known(pool, pool_w):
+            return []
+        if self.s.max_rays:
+            known = existing_pairs(self.state.frames()[1])
+            fresh = (S.rays_from_large_weights(column.weights, self.s.max_rays).select("feature_id", "sign")
+                     .join(known, ["feature_id", "sign"], "left_anti"))
+            rays, rays_w = unit_columns(cut_lineage(fresh), "ray", "acceleration", self.i)
+            pool, pool_w = pool.unionByName(rays), pool_w.unionByName(rays_w)
+        return self._append(pool, pool_w)
+
+    def _known(self, pool, pool_w) -> bool:
+        """Is the one column of ``pool`` equal to a column of the pool?"""
+        content = ["n_weights", "h1", "h2", "h3"]
+        old = column_signatures(*self.state.frames())
+        return bool(column_signatures(pool, pool_w).join(old.select(*content), content, "left_semi").limit(1).collect())
 
     def screen(self, kind="point"):
         duals = self.solution.duals.select("row_id", (F.col("y") * F.col("pi")).alias("v"))
@@ -192,12 +198,6 @@ class _Loop:
         chosen = cut_lineage(hits.select("feature_id", F.col("sign_descent").alias("sign")))
         return self._append(*unit_columns(chosen, kind, "screening", self.i))
 
-    def rays(self, column):
-        chosen = S.rays_from_large_weights(column.weights, self.s.max_rays).select("feature_id", "sign")
-        known = existing_pairs(self.state.frames()[1])
-        fresh = cut_lineage(chosen.join(known, ["feature_id", "sign"], "left_anti"))
-        return self._append(*unit_columns(fresh, "ray", "acceleration", self.i))
-
     def gradient_ray(self):
         name = f"r_grad_{self.i}"
         ray = cut_lineage(S.gradient_ray(self.gradient).where(F.col("weight") != 0)
@@ -255,13 +255,11 @@ class _Loop:
             use_pricing = (not s.hybrid or (s.pricing_every and self.i > 0 and self.i % s.pricing_every == 0)
                            or flat >= s.patience or added_last == 0)
             if use_pricing:
-                added, column = self.price()
+                added = self.price()
                 row["step"] = "pricing"
                 if not added and s.stop_on_repeat:
                     status = "repeated_column"
                     break
-                if added and s.max_rays:
-                    added = added + self.rays(column)
                 if not added:
                     added = self.screen("ray" if s.max_rays else "point")
                     row["step"] = "screening_fallback"

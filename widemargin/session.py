@@ -28,9 +28,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and continue from the written rows.
+
+    A written table survives lost executors and, unlike a checkpointed plan,
+    has a known size, so the optimizer may broadcast it when it is small.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/rows/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread_small(df: DataFrame) -> DataFrame:
