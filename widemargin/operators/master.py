@@ -16,7 +16,7 @@ from widemargin.functions.skew import hot_keys, with_slice
 from widemargin.operators.bounds import hinge_duals
 from widemargin.operators.newton import (WIDTHS, NewtonResult, Regulariser, combination_bound, combination_set,
                                          minimise)
-from widemargin.operators.pool import MAX_GRAM_COLUMNS, POOL_SCHEMA, combine_columns, gram_matrix, project_rows
+from widemargin.operators.pool import MAX_GRAM_COLUMNS, POOL_SCHEMA, gram_matrix, project_rows
 from widemargin.operators.rows import PackedRows, block_evaluator, block_scores, extend_rows, label_rows, pack_rows
 from widemargin.session import bucketed, cut_lineage
 
@@ -164,7 +164,9 @@ class MasterState:
     def _weights(self, cols, x) -> DataFrame:
         pairs = [(c["col_id"], float(v)) for c, v in zip(cols, x) if v != 0.0]
         theta = self.spark.createDataFrame(pairs, "col_id string, coef double")
-        return combine_columns(self.pool_w, theta, self.hot.limit(0).withColumnRenamed("feature_id", "col_id"))
+        # at most MAX_GRAM_COLUMNS coefficients
+        return (self.pool_w.join(F.broadcast(theta), "col_id")
+                .groupBy("feature_id").agg(F.sum(F.col("weight") * F.col("coef")).alias("weight")))
 
     def _inside_box(self, found, evaluate, regulariser, project, bound, cols, m_box, combination, tol, max_passes):
         """Row generation for |w_j| <= M: only features that leave the box become rows of a penalty."""

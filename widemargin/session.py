@@ -60,4 +60,7 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     name = f"widemargin_{uuid.uuid4().hex}"
     (df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
      .option("path", f"{ensure_checkpoint_dir(spark)}/tables/{name}").saveAsTable(name))
-    return spark.table(name)
+    stored = spark.table(name)
+    # the plan above already knows the files; dropping the external table only clears the catalog entry
+    spark.sql(f"DROP TABLE {name}")
+    return stored
