@@ -191,7 +191,7 @@ def test_hull(spark, pool):
     assert not P.hull_membership(spark.createDataFrame([(3, 1.0)], "feature_id long, weight double"), points, w, "libre")[0]
 
 
-SETTINGS = dict(m_box=5.0, master_tol=5e-3, pricing_tol=2e-2, max_iter=3)
+SETTINGS = dict(m_box=5.0, master_tol=1e-2, pricing_tol=5e-2, max_iter=2)
 
 
 @pytest.mark.parametrize("loop", (G.column_generation, G.column_generation_hybrid, G.column_generation_points_rays,
@@ -208,8 +208,8 @@ def test_loops_improve_and_never_rise(planted, pool, tmp_path, loop):
 
 def test_convex_loop_comes_close_to_the_optimum(planted, pool):
     matrix, labels, dense, y = planted
-    run = G.column_generation(matrix, labels, *pool, G.Settings(**{**SETTINGS, "max_iter": 4}))
-    assert run.iterations[-1]["ub"] <= 1.1 * optimum(dense, y, FEATURES).objective
+    run = G.column_generation(matrix, labels, *pool, G.Settings(**{**SETTINGS, "max_iter": 3}))
+    assert run.iterations[-1]["ub"] <= 1.15 * optimum(dense, y, FEATURES).objective
 
 
 def test_idle_columns_leave_the_pool(planted, pool):
