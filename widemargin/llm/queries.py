@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from widemargin.llm.common import table
+from widemargin.llm.mixing import mix
 from widemargin.llm.ngram_jaccard import jaccard_classes
+from widemargin.llm.pii import pii_report
 from widemargin.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +61,37 @@ SELECT doc_id, len(t) AS n_words, len(t) - len(k) AS n_removed, sha256(array_to_
 @query("op7_substring_dedup", OP7_SQL)
 def op7(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, source, len({WORDS})::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 1, 9))::BIGINT AS h FROM documents),
+s AS MATERIALIZED (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w
+  FROM (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source)),
+c AS (
+  SELECT *, coalesce(sum(3 * n) OVER p, 0) AS spent, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS w_left, sum(n) OVER () AS total
+  FROM s WINDOW p AS (ORDER BY n::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT spent, w_left, total FROM c WHERE NOT (3 * n * w_left < w * (total - spent)) ORDER BY spent LIMIT 1),
+t AS (
+  SELECT source, n, CASE WHEN 3 * n * w_left < w * (total - z.spent) THEN (3 * n)::DOUBLE
+    ELSE w::DOUBLE * ((total - z.spent)::DOUBLE / w_left::DOUBLE) END AS target
+  FROM s, z),
+p AS (SELECT *, CASE WHEN n > 0 THEN least(floor(target / n)::BIGINT, 3) ELSE 0 END AS whole FROM t),
+g AS (SELECT source, h, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) - sum(size) AS before
+      FROM d GROUP BY source, h)
+SELECT d.doc_id, d.size, p.n AS source_size, p.target,
+  (d.size * (p.whole + CASE WHEN p.n > 0 AND g.before + g.size / 2 <= p.target - p.whole * p.n THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h"""
+
+
+@query("op3_mixing", OP3_SQL)
+def op3(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    return pii_report(table(spark, sf_dir, "documents"))
