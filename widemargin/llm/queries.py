@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from widemargin.llm import language, quality
 from widemargin.llm.common import table
+from widemargin.llm.decontamination import contaminated
+from widemargin.llm.licences import scan_licences
 from widemargin.llm.mixing import mix
 from widemargin.llm.ngram_jaccard import jaccard_classes
 from widemargin.llm.pii import pii_report
+from widemargin.llm.secrets import secret_report
 from widemargin.llm.substring_dedup import remove_repeats
+from widemargin.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +100,47 @@ def op3(spark, sf_dir):
 @query("op4_pii")
 def op4(spark, sf_dir):
     return pii_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality.score_quality(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.fit(documents))
+
+
+@query("op1_decontamination")
+def op1(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op6_exact_top_k", OP6_SQL)
+def op6(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_secret_scan")
+def op9(spark, sf_dir):
+    """The source owns the text; its texts of one language are a repository."""
+    return secret_report(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+@query("op10_licence_scan")
+def op10(spark, sf_dir):
+    """Texts lie in a directory per source and language."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return scan_licences(table(spark, sf_dir, "documents"), path)
