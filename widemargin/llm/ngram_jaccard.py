@@ -9,7 +9,8 @@ and summed per pair.  Which pairs to count comes from the order as well:
    partner and leaves.
 2. The rest is ordered from rare to frequent.  Two linked sets share one of the
    first ``(1 - threshold) * n + 1`` shingles.
-3. Pairs that meet there are verified: overlaps per fragment, summed.
+3. Pairs that meet there, and can still share enough behind that place, are
+   verified: overlaps per fragment, summed.
 
 Large groups of copies never make all their pairs.  Equal sets are one set from
 the start.  For the others, each shingle first names one of its sets as leader,
@@ -36,8 +37,9 @@ from widemargin.llm.components import components
 
 #: Sets whose shingles a task holds back before it sends them, pre-aggregated, to the fragments.
 _UNIT = 1_500_000
-#: Pairs across components, as a multiple of the postings, from which another leader round is worth it.
-_SPREAD = 4
+#: Another leader round pays while pairs across components are this multiple of the postings, and
+#: this share of the pairs of the last round was linked.  Neither changes the result.
+_SPREAD, _WORTH = 4, 0.1
 _HASHES = "array<bigint>"
 
 
@@ -189,49 +191,57 @@ def _verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, ratio: Fr
 
 
 def _link(postings: DataFrame, segments: DataFrame, sizes: DataFrame, ratio: Fraction) -> DataFrame | None:
-    """(node, root) of sets with a partner."""
-    spark, rows = postings.sparkSession, postings.count()
-    roots = tried = None
-    found = 0
+    """(node, root) of sets with a partner, from ``postings`` (set_id, n, val, rest).
+
+    ``rest`` counts the shingles of the set behind ``val``.  If ``val`` is the first
+    that two sets share, they share 1 + the smaller rest at most, and the smaller
+    set of a linked pair has it among its first few: it is ``slim`` there.
+    """
+    rows, roots, tried, found, turn = postings.count(), None, None, 0, 0
     p, q = ratio.numerator, ratio.denominator
-    fits = (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
-    for turn in range(64):
-        placed = postings if roots is None else postings.join(
-            roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-        placed = placed.withColumn("root", F.coalesce("root", "set_id") if roots is not None else F.col("set_id"))
-        open_shingles = (placed.groupBy("val", "root").agg(F.count(F.lit(1)).alias("k"))
-                         .groupBy("val").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("parts"))
-                         .where("parts > 1"))
-        open_shingles = staged(open_shingles)
-        across = open_shingles.agg(F.sum((F.col("s") * F.col("s") - F.col("kk")) / 2)).first()[0] or 0
+    fits = ((F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p)
+            & ((p + q) * (1 + F.least("rest_a", "rest_b")) >= p * (F.col("n_a") + F.col("n_b"))))
+    slim = (p + q) * (1 + F.col("rest")) >= 2 * p * F.col("n")
+    postings = postings.withColumn("slim", slim.cast("int"))
+    while True:
+        placed = postings.withColumn("root", F.col("set_id")) if roots is None else postings.join(
+            roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        k, s = F.col("k"), F.col("s")
+        open_shingles = staged(
+            placed.groupBy("val", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("slim").alias("s"))
+            .groupBy("val").agg((F.sum(k) * F.sum(s) - F.sum(k * s)).alias("across")).where("across > 0"))
+        across = open_shingles.agg(F.sum("across")).first()[0] or 0
         if not across:
-            break
+            return roots
         placed = staged(placed.join(open_shingles.select("val"), "val"))
-        last = turn > 0 and (across <= _SPREAD * rows or not found) or turn == 63
-        if last:
-            a = placed.select("val", F.col("set_id").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-            b = placed.select("val", F.col("set_id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-            pairs = a.join(b, "val").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
+        # leaders first, while they link well and many pairs are left
+        last = turn > 0 and (across <= _SPREAD * rows or found < _WORTH * pairs_tried)
+        small = placed.where("slim = 1").select("val", F.col("set_id").alias("a"), F.col("root").alias("root_a"),
+                                                F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+        other = placed.select("val", F.col("set_id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"),
+                              F.col("rest").alias("rest_b"))
+        if not last:
+            # the set with the fewest rarer shingles is nearest to what the others have in common
+            rank = F.col("n_a") - F.col("rest_a") if turn % 2 == 0 else F.lit(0)
+            lead = F.struct(rank.alias("rank"), F.xxhash64(F.lit(turn), F.col("a")).alias("h"), "a", "root_a", "n_a", "rest_a")
+            small = small.groupBy("val").agg(F.min(lead).alias("lead")).select("val", "lead.a", "lead.root_a", "lead.n_a", "lead.rest_a")
+            first = F.col("a") != F.col("b")
         else:
-            lead = F.struct(F.xxhash64(F.lit(turn), F.col("set_id")), F.col("set_id"), F.col("root"), F.col("n"))
-            leaders = placed.groupBy("val").agg(F.min(lead).alias("lead")).select(
-                "val", F.col("lead.set_id").alias("x"), F.col("lead.root").alias("root_x"), F.col("lead.n").alias("n_a"))
-            pairs = (placed.withColumnRenamed("n", "n_b").join(leaders, "val")
-                     .where((F.col("x") != F.col("set_id")) & (F.col("root") != F.col("root_x")) & fits)
-                     .select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")))
-        pairs = pairs.select("a", "b").distinct()
+            first = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
+        pairs = (small.join(other, "val").where(first & (F.col("root_a") != F.col("root_b")) & fits)
+                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         done = staged(_verified(pairs, segments, sizes, ratio))
         new = done.where("linked").select("a", "b")
-        found = new.count()
+        pairs_tried, found = done.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("linked").cast("int")), F.lit(0))).first()
         tried = done.select("a", "b") if tried is None else tried.union(done.select("a", "b"))
         if found:
             links = new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
             roots = staged(components(links))
         if last:
-            break
-    return roots
+            return roots
+        turn += 1
 
 
 def _classes(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -264,7 +274,9 @@ def _classes(documents: DataFrame, width: int, percent: int) -> DataFrame:
     first = (ordered.groupBy("set_id").agg(F.sort_array(F.collect_list("part")).alias("parts")).join(known, "set_id")
              .select("set_id", "n", F.flatten(F.col("parts.vals")).alias("vals"))
              .withColumn("take", F.col("n") - F.ceil(F.col("n") * p / F.lit(q)) + 1 - (F.col("n") - F.size("vals")))
-             .where("take > 0").select("set_id", "n", F.explode(F.slice("vals", F.lit(1), F.col("take").cast("int"))).alias("val")))
+             .where("take > 0").select("set_id", "n", F.size("vals").alias("shared"),
+                                       F.posexplode(F.slice("vals", F.lit(1), F.col("take").cast("int"))).alias("rank", "val"))
+             .select("set_id", "n", "val", (F.col("shared") - F.col("rank") - 1).alias("rest")))
     roots = _link(staged(first), segments, known, ratio)
     classes = rows if roots is None else rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     classes = classes.withColumn("class", F.coalesce("root", "set_id") if roots is not None else F.col("set_id"))
