@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items become word sequences.  Their ``seed``-word n-grams are counted in all
-documents, and each item keeps the rarer half of its own (eight at least).  A
+documents; of those that occur, each item keeps the eight rarest and all that are at
+most four times as frequent as its middle one.  A
 passage that holds a kept seed of an item is aligned with the item word by word:
 2 for a match, -1 for another word or a gap.  The best local score, over that of
 the item against itself, is the score; from ``threshold`` on the document holds
@@ -64,14 +65,18 @@ class Block:
         self.may[(self.seeds & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
     def keep_rare(self, counts: dict[int, int], least: int = 8):
-        n = np.array([counts.get(int(s), 0) for s in self.seeds.view(np.int64)])
-        n = np.repeat(n, self.times)
+        n = np.repeat([counts.get(int(s), 0) for s in self.seeds.view(np.int64)], self.times)
+        met = n > 0  # a seed that no document holds finds nothing
+        n, self.grams, self.item, self.place = n[met], self.grams[met], self.item[met], self.place[met]
+        if not len(n):
+            return self._order()
         order = np.lexsort((self.grams, n, self.item))
         item = self.item[order]
         start = np.searchsorted(item, np.arange(len(self.ids)))
         size = np.bincount(item, minlength=len(self.ids))
         rank = np.arange(len(item)) - start[item]
-        chosen = order[rank < np.maximum(least, -(-size // 2))[item]]
+        middle = n[order][np.minimum(start + size // 2, len(order) - 1)]
+        chosen = order[(rank < least) | (n[order] <= 4 * middle[item])]
         self.grams, self.item, self.place = self.grams[chosen], self.item[chosen], self.place[chosen]
         self._order()
 
@@ -165,6 +170,7 @@ def blocks(documents: DataFrame, items: DataFrame, seed: int = SEED, chars: int
         block = Block([r["item_id"] for r in own], [r["text"].encode() for r in own], seed)
         if len(block.seeds):
             block.keep_rare(_frequencies(documents, block))
+        if len(block.seeds):
             yield block
 
 
