@@ -215,7 +215,7 @@ def _link(postings: DataFrame, segments: DataFrame, sizes: DataFrame, ratio: Fra
             return roots
         placed = staged(placed.join(open_shingles.select("val"), "val"))
         # leaders first, while they link well and many pairs are left
-        last = turn > 0 and (across <= _SPREAD * rows or found < _WORTH * pairs_tried)
+        last = turn > 0 and (across <= _SPREAD * rows or found <= _WORTH * pairs_tried)
         small = placed.where("slim = 1").select("val", F.col("set_id").alias("a"), F.col("root").alias("root_a"),
                                                 F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
         other = placed.select("val", F.col("set_id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"),
