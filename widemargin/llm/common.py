@@ -47,9 +47,9 @@ def marked(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFra
     then shuffles few rows while the keys are few.
     """
     mark = lambda: F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(MARKS))
-    marks = F.broadcast(keys.select(mark().alias("_mark")).distinct())
-    spread = df.withColumn("_mark", mark())
-    return spread.join(marks, "_mark", "left_semi").drop("_mark"), spread.join(marks, "_mark", "left_anti").drop("_mark")
+    marks = F.broadcast(keys.select(mark().alias("_widemargin_mark")).distinct())
+    met = mark() == F.col("_widemargin_mark")
+    return df.join(marks, met, "left_semi"), df.join(marks, met, "left_anti")
 
 
 def staged(df: DataFrame) -> DataFrame:

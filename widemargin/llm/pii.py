@@ -115,10 +115,9 @@ def disclosures(documents: DataFrame, contexts: DataFrame, support: int, general
     pairs = (contexts.select("entity", "term", "key").distinct().groupBy("entity", "term")
              .agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support).join(entities, "entity"))
     pairs = staged(pairs)
-    terms = pairs.select("term").distinct()
+    # counted before the join: what a candidate term selects may be a large part of all words
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    likely, _ = marked(documents.select(F.explode(words).alias("term")), terms, "term")
-    counts = likely.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
+    counts = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = F.lit(float(max(total, 1)))
     # copies of a row share their key, so a count can exceed that of the keys: never below it
     n_term = F.greatest("n_term", "n_both")
