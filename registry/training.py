@@ -7,6 +7,7 @@ Where a result can be stated in SQL it has its own query.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -212,8 +213,10 @@ def _priced(spark, sf_dir, cut, m_box, tol=1e-2):
     gradient = D.choose_gradient(D.master_gradient(matrix, D.equalised_duals(s.duals), s.weights), "alpha_only")
     c = R.price_column(matrix, labels, gradient, COST, m_box, cut, tol=tol)
     against = c.weights.join(gradient, "feature_id").agg(F.sum(F.col("weight") * F.col("grad")).alias("v")).first()["v"]
-    return _report(spark, [{"ub": round(c.objective, 6), "lb": round(c.lower, 6), "norm_w": round(c.norm_w, 6),
-                            "g_dot_w": round(against or 0.0, 6), "status": c.status, "passes": c.passes}])
+    # without a bound: null
+    lower = round(c.lower, 6) if np.isfinite(c.lower) else None
+    return spark.createDataFrame([(round(c.objective, 6), lower, round(c.norm_w, 6), round(against or 0.0, 6), c.status, c.passes)],
+                                 "ub double, lb double, norm_w double, g_dot_w double, status string, passes long")
 
 
 @query("price_column")

@@ -149,6 +149,32 @@ def test_working_set_bound_covers_all_features(spark, planted):
     assert part.lower <= full.objective + 1e-6 and part.objective >= full.lower - 1e-6
 
 
+@pytest.mark.parametrize("cut", (None, "halfspace", "sign"))
+def test_gradient_shorter_than_the_features_gives_no_false_bound(spark, planted, cut):
+    matrix, labels, _, _ = planted
+    gradient = spark.createDataFrame([(2, 0.4), (4, -0.3)], "feature_id long, grad double")
+    full = R.price_column(matrix, labels, gradient, 1.0, 2.0, cut, tol=1e-3)
+    part = R.price_column(matrix, labels, gradient, 1.0, 2.0, cut, tol=1e-3, working=3, rounds=1)
+    assert part.n_working == 2 and part.lower <= full.objective + 1e-6 and part.objective >= full.lower - 1e-6
+    whole = R.price_column(matrix, labels, gradient, 1.0, 2.0, cut, tol=1e-3, working=3)
+    assert whole.lower <= full.objective + 1e-6 and abs(whole.objective - full.objective) <= 5e-3 * max(1.0, abs(full.objective))
+
+
+def test_feature_without_cells_counts_in_the_price(spark, planted):
+    matrix, labels, _, _ = planted
+    gradient = spark.createDataFrame([(2, 0.4), (99, 0.5)], "feature_id long, grad double")
+    rows = R.UnitRows(matrix, labels, np.arange(FEATURES))
+    found = R.price_column(matrix, labels, gradient, 1.0, 2.0, tol=1e-3, unit_rows=rows)
+    assert found.weights.where("feature_id = 99").first()["weight"] == pytest.approx(2.0, abs=1e-2)
+
+
+def test_unboxed_pricing_claims_no_bound(spark, planted):
+    matrix, labels, _, _ = planted
+    gradient = spark.createDataFrame([(2, 500.0)], "feature_id long, grad double")
+    found = R.price_column(matrix, labels, gradient, 1.0, None, tol=1e-2, max_passes=30)
+    assert found.status == "unbounded_suspected" and found.lower == -np.inf
+
+
 def test_blocks_in_tasks_and_as_jobs_agree(spark, planted):
     matrix, labels, _, _ = planted
     features = spark.range(FEATURES).select(F.col("id").alias("feature_id"))

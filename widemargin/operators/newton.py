@@ -343,25 +343,34 @@ def combination_bound(gram: np.ndarray, combination: str, rays: np.ndarray):
     return bound
 
 
+def cut_multiplier(direction: np.ndarray, reach: np.ndarray) -> float:
+    """The multiplier >= 0 of the half-space cut with the smallest sum |reach - m*direction|: a weighted median."""
+    some = np.nonzero(direction)[0]
+    if not len(some):
+        return 0.0
+    order = some[np.argsort(reach[some] / direction[some])]
+    weight = np.cumsum(np.abs(direction[order]))
+    mid = order[np.searchsorted(weight, 0.5 * weight[-1])]
+    return max(0.0, float(reach[mid] / direction[mid]))
+
+
+def vanishing_bound(total: float, left: float) -> float:
+    """Bound without a box: none unless the reduced costs vanish, whose absolute sum is ``left``."""
+    return float(total) if left <= 1e-9 * max(1.0, abs(total)) else -np.inf
+
+
 def box_bound(direction: np.ndarray, m_box: float | None, cut: str | None = None):
     """Lower bound of the pricing problem over the box, from duals."""
     def bound(q, total, point):
         reach = direction + q
-        # without a box: the bound over a box ten times as wide as the point reached
-        high = m_box if m_box is not None else 10.0 * max(1.0, np.abs(point[:-1]).max(initial=0.0))
         if cut == "sign":
-            free = np.where(direction > 0, np.maximum(-reach, 0.0),
-                            np.where(direction < 0, np.maximum(reach, 0.0), np.abs(reach)))
-            return total - high * free.sum()
-        if cut == "halfspace":
-            # the multiplier of the cut is a weighted median of reach/direction
-            some = np.nonzero(direction)[0]
-            if len(some):
-                order = some[np.argsort(reach[some] / direction[some])]
-                weight = np.cumsum(np.abs(direction[order]))
-                mid = order[np.searchsorted(weight, 0.5 * weight[-1])]
-                reach = reach - max(0.0, reach[mid] / direction[mid]) * direction
-        return total - high * np.abs(reach).sum()
+            left = np.where(direction > 0, np.maximum(-reach, 0.0),
+                            np.where(direction < 0, np.maximum(reach, 0.0), np.abs(reach))).sum()
+        elif cut == "halfspace":
+            left = np.abs(reach - cut_multiplier(direction, reach) * direction).sum()
+        else:
+            left = np.abs(reach).sum()
+        return vanishing_bound(total, left) if m_box is None else total - m_box * left
     return bound
 
 
