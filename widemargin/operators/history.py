@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 COARSE_CHANGE, MEDIUM_CHANGE = 1e-1, 1e-3
 COARSE_TOL, MEDIUM_TOL, FINE_TOL = 1e-5, 1e-6, 1e-7
 MEDIUM_WINDOW, FINE_WINDOW = 1.1, 1.5
+# fixed value: the pricing box once the schedule has dropped the master's
+FREE_PRICING_BOX = 1e6
 FLAT_FROM_ITER = {"points": 2, "points_rays": 6}
 
 

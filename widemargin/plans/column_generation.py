@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -84,16 +84,6 @@ class Run:
         return self.spark.createDataFrame(self.history, HISTORY_SCHEMA)
 
 
-def _idle(history: list[tuple], active: set[str], periods: int, threshold: float) -> list[str]:
-    """Columns idle in their last ``periods`` records; the history has pool x iterations entries."""
-    records: dict[str, list] = {}
-    for _, _, col_id, _, coef, event in history:
-        if event is None and col_id in active:
-            records.setdefault(col_id, []).append(coef)
-    return [c for c, values in records.items() if len(values) >= periods
-            and all(v is not None and abs(v) < threshold for v in values[-periods:])]
-
-
 class _Loop:
     def __init__(self, matrix, labels, pool, pool_w, settings: Settings, run_id: str, state_dir: str | None):
         self.spark, self.labels, self.s = matrix.sparkSession, labels, settings
@@ -112,8 +102,17 @@ class _Loop:
         self.unit_rows = UnitRows(matrix, labels, few) if few is not None else None
 
     # ------------------------------------------------------------ steps
+    def theta_history(self) -> DataFrame:
+        return self.spark.createDataFrame(self.history, HISTORY_SCHEMA)
+
+    def run_iterations(self) -> DataFrame:
+        rows = [tuple(r.get(f.name) for f in ITERATION_SCHEMA) for r in self.iterations]
+        return self.spark.createDataFrame(rows, ITERATION_SCHEMA)
+
     def prune(self):
-        gone = _idle(self.history, self.state.active, int(self.periods), self.s.idle_threshold)
+        # pool-sized: one row per idle column
+        idle = H.idle_columns(self.theta_history(), int(self.periods), self.s.idle_threshold).collect()
+        gone = sorted(r["col_id"] for r in idle if r["col_id"] in self.state.active)
         # never drop the last column
         gone = gone[:max(0, len(self.state.active) - 1)]
         kinds = {c["col_id"]: c["kind"] for c in self.state.columns}
@@ -125,15 +124,20 @@ class _Loop:
     def master(self):
         start = self.solution.coefficients if self.solution else None
         found = self.state.solve(self.s.combination, self.m_box, tol=self.tol, start=start)
+        kinds = {c["col_id"]: c["kind"] for c in self.state.columns if c["col_id"] in self.state.active}
+        self.kept_point = False
         if self.solution is not None and found.objective > self.solution.objective:
-            # a larger pool cannot be worse: keep the better coefficients, unless one of them was pruned
-            names = {k for k, v in self.solution.coefficients.items() if k not in ("b", "width") and v}
+            # the solve starts at the last point, so only rows of the box make it rise; that point is still
+            # allowed unless one of its columns was pruned.  The point is kept whole, duals and bound are the new ones.
+            last = self.solution
+            names = {k for k, v in last.coefficients.items() if k not in ("b", "width") and v}
             if names <= self.state.active:
-                found.objective, found.coefficients = self.solution.objective, dict(self.solution.coefficients)
-                found.weights, found.b = self.solution.weights, self.solution.b
-                found.norm_w, found.sum_xi = self.solution.norm_w, self.solution.sum_xi
+                self.kept_point = True
+                theta = [(c, k, float(last.coefficients.get(c, 0.0))) for c, k in kinds.items()]
+                found = replace(found, objective=last.objective, b=last.b, norm_w=last.norm_w, sum_xi=last.sum_xi,
+                                weights=last.weights, theta=self.spark.createDataFrame(theta, "col_id string, kind string, coef double"),
+                                coefficients={**{c: v for c, _, v in theta}, "b": last.b, "width": found.coefficients["width"]})
         self.solution = found
-        kinds = {c["col_id"]: c["kind"] for c in self.state.columns if c["col_id"] in self.state.active}
         self.history += [(self.run_id, self.i, c, k, float(found.coefficients.get(c, 0.0)), None) for c, k in kinds.items()]
         return found
 
@@ -164,6 +168,9 @@ class _Loop:
     def price(self):
         """Ids of the priced column and, with max_rays, of the unit rays of its large weights."""
         box = self.s.pricing_box if self.s.pricing_box is not None else self.m_box
+        if box is None and self.s.m_box is not None:
+            # the schedule dropped the master's box: pricing still needs one
+            box = H.FREE_PRICING_BOX
         column = price_column(self.matrix, self.labels, self.direction(), self.s.cost, box, self.s.cut,
                               self.s.pricing_tol, unit_rows=self.unit_rows)
         if column.norm_w <= 1e-9:
@@ -206,18 +213,25 @@ class _Loop:
         return self._append(pool, ray)
 
     def adapt(self):
-        """Tolerances, window and box from the last change of the objective."""
+        """Tolerance, window and box by the schedule's mode at the last change of the objective.
+
+        The schedule's own tolerances are those of an exact solver; here they scale the proven gap.
+        """
         if len(self.iterations) < 2:
             return
-        change = abs(self.iterations[-2]["ub"] - self.iterations[-1]["ub"])
-        if change > H.COARSE_CHANGE:
-            self.tol = max(self.s.master_tol, 1e-2)
-        elif change > H.MEDIUM_CHANGE:
-            self.tol, self.periods = self.s.master_tol, self.periods * H.MEDIUM_WINDOW
-        else:
-            self.tol, self.periods = 0.1 * self.s.master_tol, self.periods * H.FINE_WINDOW
+        now = H.tolerance_schedule(self.run_iterations()).where(F.col("iter") == self.iterations[-1]["iter"]).first()
+        if now["mode"] is None:
+            return
+        self.tol = {"coarse": max(self.s.master_tol, 1e-2), "medium": self.s.master_tol, "fine": 0.1 * self.s.master_tol}[now["mode"]]
+        self.periods *= now["window_factor"]
+        if now["drop_box"]:
             self.m_box = None
 
+    def stop_rule(self) -> str | None:
+        """The rule that ends the run at the current iteration."""
+        marked = H.stop_rules(self.run_iterations(), self.s.tol, self.s.max_iter, self.s.flat_from)
+        return marked.where(F.col("iter") == self.i).first()["stop"]
+
     # ------------------------------------------------------------ loop
     def run(self) -> Run:
         s, status, flat, added_last, lb_best = self.s, "max_iter", 0, None, None
@@ -235,22 +249,19 @@ class _Loop:
             row = {"run_id": self.run_id, "iter": self.i, "ub": float(found.objective), "lb": float(lb_best),
                    "n_points": sum(k != "ray" for k in kinds), "n_rays": sum(k == "ray" for k in kinds),
                    "n_added": 0, "n_removed": n_removed, "step": "none", "status": found.status}
-            self.iterations.append(row)
             if not math.isfinite(found.objective):
-                status = "MASTER_FAILURE"
-                break
-            if abs(found.objective - lb_best) <= s.tol * max(1.0, abs(found.objective)):
-                status = "optimo_gap"
-                break
+                row["ub"] = None
+            self.iterations.append(row)
             change = abs(found.objective - before) if before is not None else None
             flat = flat + 1 if change is not None and change <= s.tol else 0
-            if self.i >= s.flat_from and change is not None and change <= s.tol and not s.hybrid:
-                status = "optimo"
-                break
-            if s.hybrid and flat >= max(s.idle_periods, s.patience):
-                status = "optimo"
-                break
-            if self.i >= s.max_iter:
+            rule = self.stop_rule()
+            if rule == "optimo" and (s.hybrid or self.kept_point):
+                # the hybrid loop has its own patience; a kept point is no flat solve
+                rule = "max_iter" if self.i >= s.max_iter else None
+            if rule is None and s.hybrid and flat >= max(s.idle_periods, s.patience):
+                rule = "optimo"
+            if rule is not None:
+                status = rule
                 break
             use_pricing = (not s.hybrid or (s.pricing_every and self.i > 0 and self.i % s.pricing_every == 0)
                            or flat >= s.patience or added_last == 0)
@@ -283,11 +294,8 @@ class _Loop:
 
     def save(self):
         pool, pool_w = self.state.frames()
-        rows = [tuple(r.get(f.name) for f in ITERATION_SCHEMA) for r in self.iterations]
-        pool_checkpoint({"pool": pool, "pool_w": pool_w,
-                         "theta_history": self.spark.createDataFrame(self.history, HISTORY_SCHEMA),
-                         "run_iterations": self.spark.createDataFrame(rows, ITERATION_SCHEMA)},
-                        self.state_dir, self.run_id, self.i)
+        pool_checkpoint({"pool": pool, "pool_w": pool_w, "theta_history": self.theta_history(),
+                         "run_iterations": self.run_iterations()}, self.state_dir, self.run_id, self.i)
 
 
 def column_generation(matrix: DataFrame, labels: DataFrame, pool: DataFrame, pool_w: DataFrame,
