@@ -152,12 +152,12 @@ def _(spark, sf_dir):
     return rounded(S.rays_from_large_weights(big), "weight")
 
 
-@query("rays_from_box_hits", f"""WITH {VECTOR_CTES}, cl AS (SELECT feature_id, greatest(-0.05, least(0.05, weight)) AS weight FROM w)
-SELECT feature_id, sign(weight)::INT AS sign, round(weight, 6) AS weight FROM cl WHERE abs(weight) >= 0.05 - 1e-4 ORDER BY feature_id LIMIT 50""")
+@query("rays_from_box_hits", f"""WITH {VECTOR_CTES}, cl AS (SELECT feature_id, greatest(-0.01, least(0.01, weight)) AS weight FROM w)
+SELECT feature_id, sign(weight)::INT AS sign, round(weight, 6) AS weight FROM cl WHERE abs(weight) >= 0.01 - 1e-4 ORDER BY feature_id LIMIT 50""")
 def _(spark, sf_dir):
     clipped = combined_weights(spark, sf_dir).withColumn(
-        "weight", F.greatest(F.lit(-0.05), F.least(F.lit(0.05), F.col("weight"))))
-    return rounded(S.rays_from_box_hits(clipped, 0.05), "weight")
+        "weight", F.greatest(F.lit(-0.01), F.least(F.lit(0.01), F.col("weight"))))
+    return rounded(S.rays_from_box_hits(clipped, 0.01), "weight")
 
 
 @query("gradient_ray", f"""WITH {DUAL_CTES}
