@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from widemargin.functions.hashing import hash32
 from widemargin.operators import features as B, pool as C
-from widemargin.session import ensure_checkpoint_dir
+from widemargin.session import cut_lineage, ensure_checkpoint_dir
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -71,8 +71,24 @@ def text_terms(spark, sf_dir, n_max: int = 2) -> DataFrame:
     return B.term_counts(B.tokenize(labelled_texts(spark, sf_dir)), 1, n_max)
 
 
+def text_split(spark, sf_dir) -> DataFrame:
+    """(row_id, y, part) of the labelled documents."""
+    return B.stratified_split(text_labels(spark, sf_dir), seed=2)
+
+
+def fitted_texts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(terms, vocab, split): terms of all labelled documents, written once; the vocabulary sees training rows only."""
+    split = cut_lineage(text_split(spark, sf_dir))
+    train = split.where("part = 'train'").select("row_id")
+    terms = cut_lineage(text_terms(spark, sf_dir))
+    return terms, B.fit_vocabulary(terms.join(train, "row_id"), train.count(), 3, 0.95), split
+
+
 def text_vocab(spark, sf_dir) -> DataFrame:
-    return B.fit_vocabulary(text_terms(spark, sf_dir), labelled_texts(spark, sf_dir).count(), 3, 0.95)
+    """The vocabulary of ``fitted_texts`` alone: the terms are read once, so they are not written."""
+    train = cut_lineage(text_split(spark, sf_dir).where("part = 'train'").select("row_id"))
+    terms = B.term_counts(B.tokenize(labelled_texts(spark, sf_dir).join(train, "row_id")), 1, 2)
+    return B.fit_vocabulary(terms, train.count(), 3, 0.95)
 
 
 DOCS_Y = """docs_y AS (
@@ -86,13 +102,23 @@ GRAMS = """grams AS (
   UNION ALL
   SELECT row_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i+1])) AS term FROM tok)"""
 TERMS = "terms AS (SELECT row_id, term, count(*) AS tf FROM grams GROUP BY row_id, term)"
-VOCAB = """nrows AS (SELECT count(*)::DOUBLE AS n FROM docs_y),
+
+
+def split_cte(source: str, name: str) -> str:
+    """SQL text of the stratified split with seed 2 of ``source`` (row_id, y)."""
+    return f"""{name} AS (
+  SELECT row_id, y, CASE WHEN rn <= ceil(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part
+  FROM (SELECT row_id, y, count(*) OVER (PARTITION BY y) AS n,
+               row_number() OVER (PARTITION BY y ORDER BY {h32("'2'", "row_id")}, row_id) AS rn FROM {source}))"""
+
+
+VOCAB = """nrows AS (SELECT count(*)::DOUBLE AS n FROM split WHERE part = 'train'),
 vocab AS (
   SELECT row_number() OVER (ORDER BY term) - 1 AS feature_id, term, df,
          ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0 AS idf
-  FROM (SELECT term, count(*) AS df FROM terms GROUP BY term), nrows
+  FROM (SELECT term, count(*) AS df FROM terms JOIN split USING (row_id) WHERE part = 'train' GROUP BY term), nrows
   WHERE df >= 3 AND df <= 0.95::DOUBLE * n)"""
-TEXT_CTES = ",\n".join([DOCS_Y, TEXT_Y, TOK, GRAMS, TERMS, VOCAB])
+TEXT_CTES = ",\n".join([DOCS_Y, TEXT_Y, split_cte("text_y", "split"), TOK, GRAMS, TERMS, VOCAB])
 
 
 # ------------------------------------------------- supplier counts per order

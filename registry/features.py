@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from registry.base import (DOCS_Y, GRAMS, ORDER_CTES, TERMS, TEXT_CTES, TEXT_Y, TOK, VECTOR_CTES, h32, labelled_texts,
-                           order_labels, order_matrix, query, rounded, scratch_path, supplier_features, table,
-                           text_labels, text_terms, text_vocab, texts, vector_matrix, vector_labels)
+from pyspark.sql import DataFrame, functions as F
+
+from registry.base import (DOCS_Y, ORDER_CTES, TEXT_CTES, VECTOR_CTES, fitted_texts, h32, labelled_texts, order_labels,
+                           order_matrix, query, rounded, scratch_path, split_cte, supplier_features, table, text_vocab,
+                           texts, vector_matrix, vector_labels)
 from widemargin.operators import features as B
+from widemargin.session import cut_lineage
 from widemargin.sources import artifacts, tables as A
 
 MATRIX_OUT = "round(value, 6) + 0.0 AS value"
@@ -70,13 +73,10 @@ def _(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- B: features
-SPLIT_CTE = f"""split AS (
-  SELECT row_id, y, CASE WHEN rn <= ceil(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part
-  FROM (SELECT row_id, y, count(*) OVER (PARTITION BY y) AS n,
-               row_number() OVER (PARTITION BY y ORDER BY {h32("'2'", "row_id")}, row_id) AS rn FROM labels_in))"""
+ORDER_SPLIT = f"{ORDER_CTES}, {split_cte('oy', 'split')}"
 
 
-@query("stratified_split", f"""WITH {ORDER_CTES}, labels_in AS (SELECT * FROM oy), {SPLIT_CTE}
+@query("stratified_split", f"""WITH {ORDER_SPLIT}
 SELECT row_id, y, part FROM split""")
 def _(spark, sf_dir):
     return B.stratified_split(order_labels(spark, sf_dir), seed=2)
@@ -133,7 +133,8 @@ def _(spark, sf_dir):
 @query("count_matrix", f"""WITH {TEXT_CTES}
 SELECT row_id, feature_id, tf::DOUBLE AS value FROM terms JOIN vocab USING (term)""")
 def _(spark, sf_dir):
-    return B.count_matrix(text_terms(spark, sf_dir), text_vocab(spark, sf_dir))
+    terms, vocab, _ = fitted_texts(spark, sf_dir)
+    return B.count_matrix(terms, vocab)
 
 
 TFIDF = """raw AS (SELECT row_id, feature_id, tf * idf AS v FROM terms JOIN vocab USING (term)),
@@ -142,7 +143,8 @@ tfidf AS (SELECT row_id, feature_id, v / sqrt(sum(v * v) OVER (PARTITION BY row_
 
 @query("tfidf_matrix", f"WITH {TEXT_CTES}, {TFIDF} SELECT row_id, feature_id, {MATRIX_OUT} FROM tfidf")
 def _(spark, sf_dir):
-    return rounded(B.tfidf_matrix(text_terms(spark, sf_dir), text_vocab(spark, sf_dir)), "value")
+    terms, vocab, _ = fitted_texts(spark, sf_dir)
+    return rounded(B.tfidf_matrix(terms, vocab), "value")
 
 
 @query("tfidf_transform_pages", f"""WITH {TEXT_CTES},
@@ -161,18 +163,19 @@ def _(spark, sf_dir):
     return rounded(B.tfidf_matrix(terms, text_vocab(spark, sf_dir)), "value")
 
 
-MOMENTS = """nr AS (SELECT count(*)::DOUBLE AS n FROM oy),
+MOMENTS = """nr AS (SELECT count(*)::DOUBLE AS n FROM split WHERE part = 'train'),
 mom AS (SELECT feature_id, sum(value) / n AS mean,
                sqrt(greatest(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 0)) AS sd
-        FROM om, nr GROUP BY feature_id, n)"""
+        FROM om JOIN split USING (row_id), nr WHERE part = 'train' GROUP BY feature_id, n)"""
 
 
-@query("standard_scale", f"""WITH {ORDER_CTES}, {MOMENTS}
-SELECT row_id, feature_id, round(value / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS value
-FROM om JOIN mom USING (feature_id)""")
+@query("standard_scale", f"""WITH {ORDER_SPLIT}, {MOMENTS}
+SELECT row_id, feature_id, round(value / CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE sd END, 6) + 0.0 AS value
+FROM om LEFT JOIN mom USING (feature_id)""")
 def _(spark, sf_dir):
     matrix = order_matrix(spark, sf_dir)
-    moments = B.feature_moments(matrix, order_labels(spark, sf_dir).count())
+    train = cut_lineage(B.stratified_split(order_labels(spark, sf_dir), seed=2).where("part = 'train'").select("row_id"))
+    moments = B.feature_moments(matrix.join(train, "row_id"), train.count())
     return rounded(B.standard_scale(matrix, moments), "value")
 
 
@@ -200,9 +203,10 @@ def _(spark, sf_dir):
 b AS (SELECT 'block_' || i AS model_id, n * (i - 1) // 7 AS s, n * i // 7 AS e FROM nf, range(1, 8) r(i))
 SELECT model_id, row_id, feature_id, {MATRIX_OUT} FROM om JOIN b ON feature_id >= s AND feature_id < e""")
 def _(spark, sf_dir):
-    features = supplier_features(spark, sf_dir)
-    blocks = B.contiguous_blocks(features, features.count(), 7)
-    return rounded(B.slice_features_set(order_matrix(spark, sf_dir), blocks), "value")
+    matrix, n = cut_lineage(order_matrix(spark, sf_dir)), supplier_features(spark, sf_dir).count()
+    slices = [B.slice_features_range(matrix, n * (i - 1) // 7, n * i // 7).withColumn("model_id", F.lit(f"block_{i}"))
+              for i in range(1, 8)]
+    return rounded(reduce(DataFrame.unionByName, slices), "value")
 
 
 PLACES = f"""places AS (
@@ -226,7 +230,8 @@ def _(spark, sf_dir):
 
 
 @query("random_feature_groups_overlapping", f"""WITH {ORDER_CTES}, {PLACES},
-part AS (SELECT p, (104729 * p) % n AS start, 1 + (7919 * p) % greatest(1, n - 1) AS first, n FROM nf, range(1, 7) r(p)),
+part AS (SELECT p, {h32("'5'", "'start'", "p")} % n AS start, 1 + {h32("'5'", "'step'", "p")} % greatest(1, n - 1) AS first, n
+         FROM nf, range(1, 7) r(p)),
 steps AS (SELECT p, start, n, min(s) AS step FROM (SELECT p, start, n, unnest(range(first, first + n)) AS s FROM part)
           WHERE gcd(s, n) = 1 GROUP BY p, start, n),
 draws AS (SELECT p, (start + k * step) % n AS place FROM (SELECT p, start, step, n, unnest(range(0, n // 6)) AS k FROM steps))
@@ -247,16 +252,15 @@ def _(spark, sf_dir):
 
 
 # the flagship: labelled texts to the words that separate the classes
-@query("text_screening", f"""WITH {TEXT_CTES}, {TFIDF}, {SPLIT_CTE.replace('labels_in', 'text_y')},
+@query("text_screening", f"""WITH {TEXT_CTES}, {TFIDF},
 s AS (SELECT feature_id, sum(value * y) AS s FROM tfidf JOIN split USING (row_id) WHERE part = 'train' GROUP BY feature_id)
 SELECT term, CASE WHEN s > 0 THEN -1 ELSE 1 END AS sign, CASE WHEN s > 0 THEN 1 ELSE -1 END AS sign_descent,
        round(abs(s), 6) AS severity
 FROM s JOIN vocab USING (feature_id) WHERE abs(s) > 1e-8 ORDER BY abs(s) DESC, feature_id LIMIT 50""")
 def text_screening(spark, sf_dir):
     from widemargin.operators.screening import screen_features
-    vocab = text_vocab(spark, sf_dir)
-    matrix = B.tfidf_matrix(text_terms(spark, sf_dir), vocab)
-    train = B.stratified_split(text_labels(spark, sf_dir), seed=2).where(F.col("part") == "train")
-    hits = screen_features(matrix, train.select("row_id", F.col("y").alias("v")), k_max=50)
+    terms, vocab, split = fitted_texts(spark, sf_dir)
+    train = split.where("part = 'train'").select("row_id", F.col("y").alias("v"))
+    hits = screen_features(B.tfidf_matrix(terms, vocab), train, k_max=50)
     return rounded(hits.join(vocab.select("feature_id", "term"), "feature_id")
                    .select("term", "sign", "sign_descent", "severity"), "severity")

@@ -25,15 +25,6 @@ def _(spark, sf_dir):
     return _flat(*C.compact_pool(*vector_pool(spark, sf_dir)))
 
 
-@query("key_pool", f"""WITH {VECTOR_CTES}
-SELECT 'p_' AS prefix, round(b, 6) + 0.0 AS b, feature_id, round(weight, 6) + 0.0 AS weight, count(*) OVER (PARTITION BY p.col_id) AS n
-FROM pool p LEFT JOIN pool_w w2 ON p.col_id = w2.col_id""")
-def _(spark, sf_dir):
-    pool, pool_w = C.key_pool(*clean_vector_pool(spark, sf_dir))
-    sizes = pool_w.groupBy("col_id").agg(F.count(F.lit(1)).alias("n"))
-    flat = pool.join(sizes, "col_id", "left").join(pool_w, "col_id", "left")
-    return rounded(flat.select(F.substring("col_id", 1, 2).alias("prefix"), "b", "feature_id", "weight",
-                               F.coalesce("n", F.lit(1)).alias("n")), "weight", "b")
 
 
 @query("stack_pool", f"""WITH {VECTOR_CTES}, {ORDER_CTES}
@@ -106,6 +97,20 @@ def _with_copies(spark, sf_dir):
             pool_w.unionByName(pool_w.withColumn("col_id", renamed)))
 
 
+# ids follow from the content: a column and its copy under another name become one column, others stay apart
+@query("key_pool", f"""WITH {MIXED}, sizes AS (SELECT col_id, count(*) AS n FROM mixed_w GROUP BY col_id)
+SELECT 'p_' AS prefix, 18 AS id_length, (SELECT count(*) FROM mixed) AS n_ids, round(b, 6) + 0.0 AS b, feature_id,
+       round(weight, 6) + 0.0 AS weight, coalesce(n, 0) AS n
+FROM mixed m LEFT JOIN mixed_w w2 ON m.col_id = w2.col_id LEFT JOIN sizes s ON m.col_id = s.col_id""")
+def _(spark, sf_dir):
+    pool, pool_w = C.key_pool(*_with_copies(spark, sf_dir))
+    n_ids = pool.select("col_id").distinct().count()
+    sizes = pool_w.groupBy("col_id").agg(F.count(F.lit(1)).alias("n"))
+    flat = pool.join(sizes, "col_id", "left").join(pool_w, "col_id", "left")
+    return rounded(flat.select(F.substring("col_id", 1, 2).alias("prefix"), F.length("col_id").alias("id_length"),
+                               F.lit(n_ids).alias("n_ids"), "b", "feature_id", "weight", F.coalesce("n", F.lit(0)).alias("n")), "weight", "b")
+
+
 SIGNATURE = """sig AS (SELECT m.col_id, list(struct_pack(f := w2.feature_id, w := w2.weight) ORDER BY w2.feature_id)
           FILTER (WHERE w2.feature_id IS NOT NULL) AS s
   FROM both_pool m LEFT JOIN both_w w2 ON m.col_id = w2.col_id GROUP BY m.col_id)"""

@@ -16,11 +16,19 @@ PERIODS, IDLE_BELOW = 3, 0.012
 
 # ---------------------------------------------------------------- history
 @query("prune_idle_columns", f"""WITH {HISTORY_CTE},
-r AS (SELECT *, row_number() OVER (PARTITION BY run_id, col_id ORDER BY iter DESC) AS rn FROM hist WHERE event IS NULL)
-SELECT run_id, col_id FROM r WHERE rn <= {PERIODS} GROUP BY run_id, col_id
-HAVING count(*) = {PERIODS} AND count(coef) = {PERIODS} AND max(abs(coef)) < {IDLE_BELOW}""")
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id, col_id ORDER BY iter DESC) AS rn FROM hist WHERE event IS NULL),
+idle AS (SELECT col_id FROM r WHERE rn <= {PERIODS} GROUP BY run_id, col_id
+         HAVING count(*) = {PERIODS} AND count(coef) = {PERIODS} AND max(abs(coef)) < {IDLE_BELOW})
+SELECT col_id, col_id IN (SELECT col_id FROM idle) AS removed,
+       CASE WHEN col_id IN (SELECT col_id FROM idle) THEN 0 ELSE count(coef) END AS n_weights FROM hist GROUP BY col_id""")
 def _(spark, sf_dir):
-    return H.idle_columns(event_history(spark, sf_dir), PERIODS, IDLE_BELOW)
+    history = event_history(spark, sf_dir)
+    pool = history.select("col_id", "kind").distinct()
+    pool_w = history.where("coef IS NOT NULL").select("col_id", F.col("iter").alias("feature_id"), F.col("coef").alias("weight"))
+    kept, kept_w, removed = H.prune_idle_columns(pool, pool_w, history, PERIODS, IDLE_BELOW)
+    sizes = kept_w.groupBy("col_id").agg(F.count(F.lit(1)).alias("n"))
+    return (kept.withColumn("removed", F.lit(False)).unionByName(removed.withColumn("removed", F.lit(True)))
+            .join(sizes, "col_id", "left").select("col_id", "removed", F.coalesce("n", F.lit(0)).alias("n_weights")))
 
 
 @query("record_coefficients", f"""WITH {VECTOR_CTES}

@@ -11,8 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from registry.base import (TEXT_CTES, VECTOR_CTES, clean_vector_pool, pool_theta, query, rounded, text_labels,
-                           text_terms, text_vocab, vector_features, vector_labels, vector_matrix)
+from registry.base import (TEXT_CTES, VECTOR_CTES, clean_vector_pool, fitted_texts, pool_theta, query, rounded,
+                           vector_features, vector_labels, vector_matrix)
 from registry.features import TFIDF
 from widemargin.operators import (blocks as K, bounds as D, features as B, master as P, metrics as M, pool as C,
                                   pricing as R, svm as V)
@@ -32,10 +32,12 @@ def _vectors(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    """tf-idf of the labelled texts, written once: the fits read it many times."""
+    """(matrix, labels, features): tf-idf of the training texts, written once, as the fits read it many times."""
     from widemargin.session import cut_lineage
-    return (cut_lineage(B.tfidf_matrix(text_terms(spark, sf_dir), text_vocab(spark, sf_dir))),
-            text_labels(spark, sf_dir))
+    terms, vocab, split = fitted_texts(spark, sf_dir)
+    train = split.where("part = 'train'").select("row_id", "y")
+    matrix = cut_lineage(B.tfidf_matrix(terms.join(train.select("row_id"), "row_id"), vocab))
+    return matrix, train, vocab.select("feature_id")
 
 
 def scaled_pool(spark, sf_dir):
@@ -65,7 +67,7 @@ def _(spark, sf_dir):
 
 @query("conic_svm_wide")
 def _(spark, sf_dir):
-    matrix, labels = _texts(spark, sf_dir)
+    matrix, labels, _ = _texts(spark, sf_dir)
     m = V.conic_svm(matrix, labels, COST, tol=1e-2, wide_iterations=4)
     return _report(spark, [{"ub": m.objective, "lb": m.lower, "gap": m.gap, "passes": m.passes, "status": m.status}])
 
@@ -91,8 +93,7 @@ blk AS (SELECT 'block_' || (((feature_id + 1) * 12 - 1) // n + 1) AS model_id, f
 SELECT model_id, 'success' AS status, count(DISTINCT feature_id)::INT AS n_features
 FROM blk JOIN (SELECT DISTINCT term, feature_id FROM terms JOIN vocab USING (term)) USING (feature_id) GROUP BY model_id""")
 def _(spark, sf_dir):
-    matrix, labels = _texts(spark, sf_dir)
-    features = text_vocab(spark, sf_dir).select("feature_id")
+    matrix, labels, features = _texts(spark, sf_dir)
     fits = K.block_svms_contiguous(matrix, labels, features, 12, tol=0.1)
     return fits.log.select("model_id", "status", "n_features")
 
@@ -242,7 +243,7 @@ def _(spark, sf_dir):
 @query("price_column_wide")
 def _(spark, sf_dir):
     """Pricing on a working set of text features, bounded over all of them."""
-    matrix, labels = _texts(spark, sf_dir)
+    matrix, labels, _ = _texts(spark, sf_dir)
     start = D.equalised_duals(labels.select("row_id", "y", F.lit(0.0).alias("margin"), F.lit(COST).alias("pi")))
     gradient = D.dual_feature_sums(matrix, start).withColumnRenamed("s", "grad")
     c = R.price_column(matrix, labels, D.scale_gradient(gradient, 1e-8), COST, 10.0, tol=5e-2, working=96, rounds=2)
@@ -286,8 +287,7 @@ def _(spark, sf_dir):
 @query("column_generation_texts")
 def _(spark, sf_dir):
     """The text run: block models as start pool, then screening steps over the whole vocabulary."""
-    matrix, labels = _texts(spark, sf_dir)
-    features = text_vocab(spark, sf_dir).select("feature_id")
+    matrix, labels, features = _texts(spark, sf_dir)
     fits = K.block_svms_contiguous(matrix, labels, features, 12, tol=5e-2)
     pool = C.zero_column(spark).unionByName(fits.pool)
     settings = G.Settings(combination="conico", cost=COST, m_box=None, master_tol=1e-2, max_iter=2, pricing_every=0, screen_k=50)

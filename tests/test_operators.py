@@ -1,5 +1,6 @@
 """Edge cases and skew behaviour of the relational operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,18 @@ def test_constant_features_are_divided_by_one(spark):
     assert B.maxabs_scale(zero, B.feature_maxabs(zero)).first()["value"] == 0.0
 
 
+def test_features_unseen_in_training_keep_their_values(spark):
+    train = spark.createDataFrame([(0, 1, 2.0), (1, 1, 4.0)], "row_id long, feature_id long, value double")
+    both = train.unionByName(spark.createDataFrame([(2, 9, 5.0)], train.schema))
+    assert B.standard_scale(both, B.feature_moments(train, 2)).where("feature_id = 9").first()["value"] == 5.0
+    assert B.maxabs_scale(both, B.feature_maxabs(train)).where("feature_id = 9").first()["value"] == 5.0
+
+
+def test_draws_depend_on_the_seed():
+    assert B.draw_steps(100, 4, 1) == B.draw_steps(100, 4, 1) != B.draw_steps(100, 4, 2)
+    assert all(np.gcd(step, 100) == 1 and 0 <= start < 100 for _, step, start in B.draw_steps(100, 4, 3))
+
+
 def test_salted_join_equals_plain_join_with_hot_keys(spark):
     # one key holds most rows
     big = spark.range(600).select((F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 5)).alias("k"), F.col("id").alias("r"))

@@ -8,6 +8,7 @@ from widemargin.operators import blocks as K, bounds as D, master as P, pool as
 from widemargin.operators.newton import Regulariser, combination_bound, combination_set, minimise
 from widemargin.operators.rows import hinge_terms, split_terms
 from widemargin.plans import column_generation as G
+from widemargin.sources.artifacts import last_checkpoint
 
 N, FEATURES = 120, 6
 
@@ -255,3 +256,36 @@ def test_run_once_reports_one_row(planted, pool):
     matrix, labels, _, _ = planted
     row = G.run_once((matrix, labels), (matrix, labels), G.Settings(**{**SETTINGS, "max_iter": 1}), pool=pool).collect()
     assert len(row) == 1 and 0.7 <= row[0]["accuracy"] <= 1.0 and row[0]["n_columns_init"] == 5
+
+
+def test_stopped_run_goes_on_to_the_same_end(spark, planted, pool, tmp_path):
+    matrix, labels, _, _ = planted
+    plan = {**SETTINGS, "max_iter": 3, "combination": "conico"}
+    whole = G.column_generation(matrix, labels, *pool, G.Settings(**plan), run_id="w", state_dir=str(tmp_path))
+    assert last_checkpoint(spark, str(tmp_path), "none") is None
+    # the state after step 1, as a run that failed in step 2 leaves it
+    again = G.column_generation(matrix, labels, *pool, G.Settings(**plan), run_id="w",
+                                resume_from=f"{tmp_path}/run_id=w/iter=1")
+    ids = lambda run: sorted(r["col_id"] for r in run.pool.collect())
+    assert ids(again) == ids(whole) and again.generated == whole.generated and again.status == whole.status
+    assert [r["iter"] for r in again.iterations] == [r["iter"] for r in whole.iterations]
+    assert again.iterations[:2] == whole.iterations[:2]
+    assert again.iterations[-1]["ub"] == pytest.approx(whole.iterations[-1]["ub"], rel=1e-2)
+    # an ended run repeats its last step, and goes further where it may
+    more = G.column_generation(matrix, labels, *pool, G.Settings(**{**plan, "max_iter": 4}), run_id="w",
+                               resume_from=last_checkpoint(spark, str(tmp_path), "w"))
+    assert more.iterations[:3] == whole.iterations[:3] and len(more.iterations) >= len(whole.iterations)
+    assert more.iterations[-1]["ub"] <= whole.iterations[-1]["ub"] * (1 + 1e-2)
+
+
+def test_box_takes_every_feature_that_leaves_it(spark, planted):
+    matrix, labels, _, _ = planted
+    units, units_w = C.unit_columns(spark.range(FEATURES).select(F.col("id").alias("feature_id")))
+    state = P.MasterState(matrix, labels)
+    state.add(units, units_w)
+    free = state.solve("libre", tol=1e-3)
+    limit = 0.5 * min(abs(r["weight"]) for r in free.weights.orderBy(F.abs("weight").desc()).limit(2).collect())
+    boxed = state.solve("libre", m_box=limit, tol=1e-2)
+    assert boxed.weights.agg(F.max(F.abs("weight"))).first()[0] <= limit * (1 + 1e-6)
+    assert boxed.status == "box_active" and boxed.objective >= free.lower - 1e-6
+    state.release()

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 # A key above this many rows is cut into slices of about this size.
 ROWS_PER_SLICE = 1_000_000
-# The list of hot keys is broadcast, so its length is bounded.  Keys beyond the
-# bound each hold less than 1/MAX_HOT_KEYS of all rows and need no slicing.
-MAX_HOT_KEYS = 10_000
+# The list of hot keys is broadcast, so its length is bounded: 16 MB.  A key beyond
+# the bound holds less than a millionth of all rows, which is one slice of 10^12 rows.
+MAX_HOT_KEYS = 1_000_000
 
 
 def hot_from_counts(counts: DataFrame, key: str, count_col: str,

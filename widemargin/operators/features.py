@@ -6,11 +6,10 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from widemargin.functions.hashing import hash32
+from widemargin.functions.hashing import hash32, seeded_number
 from widemargin.functions.ranking import distributed_rank, take_per_group
 from widemargin.functions.skew import hot_from_counts, salted_join
 from widemargin.functions.text import run_lengths, word_ngrams, word_tokens
-from widemargin.session import spread_small
 
 
 def matrix_shape(matrix: DataFrame) -> DataFrame:
@@ -50,8 +49,8 @@ def stratified_row_bags(labels: DataFrame, seeds: list[int], size: int) -> DataF
 
 
 def tokenize(texts: DataFrame, text_col: str = "clean_data") -> DataFrame:
-    """(row_id, tokens): words of the whole text."""
-    return spread_small(texts).select("row_id", word_tokens(F.col(text_col)).alias("tokens"))
+    """(row_id, tokens): words of the whole text, in the partitions of ``texts``."""
+    return texts.select("row_id", word_tokens(F.col(text_col)).alias("tokens"))
 
 
 def ngrams(tokenized: DataFrame, n_min: int = 1, n_max: int = 2) -> DataFrame:
@@ -118,12 +117,12 @@ def standard_scale(matrix: DataFrame, moments: DataFrame, centred: bool = False)
     """Divide by the population deviation (1 where it is zero).
 
     ``centred`` also subtracts the mean and is meant for dense tables: absent
-    cells stay absent.
+    cells stay absent.  A feature without moments keeps its values.
     """
     joined = salted_join(matrix, moments.select("feature_id", "mean", "std"), "feature_id", "row_id",
-                         hot=hot_from_counts(moments, "feature_id", "n_cells"))
-    divisor = F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))
-    shifted = F.col("value") - F.col("mean") if centred else F.col("value")
+                         hot=hot_from_counts(moments, "feature_id", "n_cells"), how="left")
+    divisor = F.when(F.col("std") != 0, F.col("std")).otherwise(F.lit(1.0))
+    shifted = F.col("value") - F.coalesce("mean", F.lit(0.0)) if centred else F.col("value")
     return joined.select("row_id", "feature_id", (shifted / divisor).alias("value"))
 
 
@@ -133,10 +132,10 @@ def feature_maxabs(matrix: DataFrame) -> DataFrame:
 
 
 def maxabs_scale(matrix: DataFrame, maxima: DataFrame) -> DataFrame:
-    """Divide by the largest absolute training value (1 where it is zero)."""
+    """Divide by the largest absolute training value (1 where it is zero or the feature is new)."""
     joined = salted_join(matrix, maxima.select("feature_id", "max_abs"), "feature_id", "row_id",
-                         hot=hot_from_counts(maxima, "feature_id", "n_cells"))
-    divisor = F.when(F.col("max_abs") == 0, F.lit(1.0)).otherwise(F.col("max_abs"))
+                         hot=hot_from_counts(maxima, "feature_id", "n_cells"), how="left")
+    divisor = F.when(F.col("max_abs") != 0, F.col("max_abs")).otherwise(F.lit(1.0))
     return joined.select("row_id", "feature_id", (F.col("value") / divisor).alias("value"))
 
 
@@ -195,13 +194,13 @@ def disjoint_feature_groups(features: DataFrame, n_features: int, parts: int, se
 
 
 def draw_steps(n_features: int, parts: int, seed) -> list[tuple[int, int, int]]:
-    """(part, step, start) per group; a step prime to n visits no place twice."""
+    """(part, step, start) per group, both drawn by the seed; a step prime to n visits no place twice."""
     steps = []
     for part in range(1, parts + 1):
-        step = 1 + (7919 * part) % max(1, n_features - 1)
+        step = 1 + seeded_number(seed, "step", part) % max(1, n_features - 1)
         while gcd(step, n_features) != 1:
             step += 1
-        steps.append((part, step, (104729 * part) % n_features))
+        steps.append((part, step, seeded_number(seed, "start", part) % n_features))
     return steps
 
 

@@ -23,7 +23,7 @@ from widemargin.session import bucketed, cut_lineage
 # fixed value: weight of the ridge term, which the reported objective leaves out
 RIDGE = 1e-6
 # rows of the box |w_j| <= M added per round, and rounds
-_BOX_ROWS, _BOX_ROUNDS = 50, 4
+_BOX_ROWS = 50
 
 
 @dataclass
@@ -77,6 +77,8 @@ class MasterState:
         self.matrix = bucketed(matrix, "row_id")
         self.columns: list[dict] = []
         self.active: set[str] = set()
+        # names of columns that an earlier part of the run dropped: they don't come back
+        self.retired: set[str] = set()
         self.pool_w: DataFrame | None = None
         self.row_table: DataFrame | None = None
         self.gram = np.zeros((0, 0))
@@ -84,15 +86,16 @@ class MasterState:
 
     def add(self, pool: DataFrame, pool_w: DataFrame) -> list[str]:
         """Append the columns whose id is new; returns their ids."""
-        known = {c["col_id"] for c in self.columns}
+        known = {c["col_id"] for c in self.columns} | self.retired
         rows = pool.select(*POOL_SCHEMA.names).limit(MAX_GRAM_COLUMNS + len(known) + 1).collect()
         fresh = sorted((r.asDict() for r in rows if r["col_id"] not in known), key=lambda r: r["col_id"])
         if not fresh:
             return []
-        if len(known) + len(fresh) > MAX_GRAM_COLUMNS:
+        first = len(self.columns)
+        if first + len(fresh) > MAX_GRAM_COLUMNS:
             raise ValueError(f"more than {MAX_GRAM_COLUMNS} columns in one pool")
         names = [c["col_id"] for c in fresh]
-        index = F.broadcast(column_index(self.spark, names, len(known)))
+        index = F.broadcast(column_index(self.spark, names, first))
         new_w = cut_lineage(pool_w.select("col_id", "feature_id", "weight").join(index.select("col_id"), "col_id", "left_semi"))
         new_z = cut_lineage(project_rows(self.by_feature, new_w, self.hot).join(index, "col_id").select("row_id", "k", "z"))
         self._extend_gram(names, new_w)
@@ -169,13 +172,19 @@ class MasterState:
                 .groupBy("feature_id").agg(F.sum(F.col("weight") * F.col("coef")).alias("weight")))
 
     def _inside_box(self, found, evaluate, regulariser, project, bound, cols, m_box, combination, tol, max_passes):
-        """Row generation for |w_j| <= M: only features that leave the box become rows of a penalty."""
-        rows = None
-        for _ in range(_BOX_ROUNDS):
-            worst = (self._weights(cols, found.point[:-1]).where(F.abs("weight") > m_box * (1 + 1e-9))
-                     .orderBy(F.abs("weight").desc(), "feature_id").limit(_BOX_ROWS).collect())
+        """Row generation for |w_j| <= M: only features that leave the box become rows of a penalty.
+
+        Rounds go on, each with twice the rows, until no further feature is outside.
+        """
+        rows, inside, batch = None, [], _BOX_ROWS
+        while True:
+            outside = self._weights(cols, found.point[:-1]).where(F.abs("weight") > m_box * (1 + 1e-9))
+            if inside:
+                outside = outside.join(F.broadcast(self.spark.createDataFrame(inside, "feature_id long")), "feature_id", "left_anti")
+            worst = outside.orderBy(F.abs("weight").desc(), "feature_id").limit(batch).collect()
             if not worst:
-                return found
+                break
+            inside, batch = inside + [(r["feature_id"],) for r in worst], 2 * batch
             keep = self.spark.createDataFrame([(r["feature_id"],) for r in worst], "feature_id long")
             cells = self.pool_w.join(F.broadcast(keep), "feature_id").toPandas()
             place = {c["col_id"]: k for k, c in enumerate(cols)}
@@ -188,6 +197,8 @@ class MasterState:
             passes = found.passes
             found = minimise(evaluate, regulariser, project, found.point, self.cost, bound, tol, max_passes)
             found.passes += passes
+        if rows is None:
+            return found
         peak = max(m_box, self._weights(cols, found.point[:-1]).agg(F.max(F.abs("weight"))).first()[0] or 0.0)
         if peak > m_box and combination in ("conico", "libre"):
             # shrinking a point of a cone keeps it in the cone

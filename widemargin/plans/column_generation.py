@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field, replace
 
@@ -14,7 +15,7 @@ from widemargin.operators.pool import (POOL_SCHEMA, column_signatures, existing_
 from widemargin.operators.pricing import WORKING_FEATURES, UnitRows, price_column
 from widemargin.operators.svm import feature_list
 from widemargin.session import cut_lineage
-from widemargin.sources.artifacts import pool_checkpoint
+from widemargin.sources.artifacts import RESUME_TABLES, STATE_TABLES, pool_checkpoint, pool_restore
 
 ITERATION_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("iter", T.IntegerType()),
@@ -24,6 +25,8 @@ ITERATION_SCHEMA = T.StructType([
     T.StructField("step", T.StringType()), T.StructField("status", T.StringType()),
 ])
 HISTORY_SCHEMA = "run_id string, iter int, col_id string, kind string, coef double, event string"
+#: numbers of the last solution that a resumed run needs
+_SOLVED = ("status", "objective", "lower", "b", "norm_w", "sum_xi", "passes")
 
 
 @dataclass
@@ -85,18 +88,25 @@ class Run:
 
 
 class _Loop:
-    def __init__(self, matrix, labels, pool, pool_w, settings: Settings, run_id: str, state_dir: str | None):
+    def __init__(self, matrix, labels, pool, pool_w, settings: Settings, run_id: str, state_dir: str | None,
+                 resume_from: str | None = None):
         self.spark, self.labels, self.s = matrix.sparkSession, labels, settings
         self.run_id, self.state_dir = run_id, state_dir
         self.state = MasterState(matrix, labels, settings.cost)
         # the row-partitioned copy serves every join on row_id
         self.matrix = matrix = self.state.matrix
+        saved = pool_restore(self.spark, resume_from, STATE_TABLES + RESUME_TABLES) if resume_from else None
+        if saved:
+            pool, pool_w = saved["pool"], saved["pool_w"]
         self.state.add(pool, pool_w)
         self.n_init = len(self.state.columns)
         self.gradient: DataFrame | None = None
         self.solution: MasterSolution | None = None
         self.iterations, self.history, self.generated, self.removed = [], [], [], []
         self.periods, self.m_box, self.tol = float(settings.idle_periods), settings.m_box, settings.master_tol
+        self.first, self.flat, self.added_last, self.lb_best = 0, 0, None, None
+        if saved:
+            self.restore(saved)
         # at most this many features: the unit rows are packed once for all pricing calls
         few = feature_list(matrix, WORKING_FEATURES)
         self.unit_rows = UnitRows(matrix, labels, few) if few is not None else None
@@ -234,37 +244,38 @@ class _Loop:
 
     # ------------------------------------------------------------ loop
     def run(self) -> Run:
-        s, status, flat, added_last, lb_best = self.s, "max_iter", 0, None, None
-        for self.i in range(s.max_iter + 1):
+        s, status = self.s, "max_iter"
+        for self.i in range(self.first, s.max_iter + 1):
+            begun = self.progress()
             if s.adaptive_tolerance:
                 self.adapt()
             n_removed = 0
             if s.prune and self.i > 0 and self.i % s.check_every == 0 and self.i != s.max_iter:
                 n_removed = self.prune()
-            before = self.solution.objective if self.solution else None
+            before = self.iterations[-1]["ub"] if self.iterations else None
             found = self.master()
             lb = self.next_gradient()
-            lb_best = lb if lb_best is None else max(lb_best, lb)
+            self.lb_best = lb if self.lb_best is None else max(self.lb_best, lb)
             kinds = [c["kind"] for c in self.state.columns if c["col_id"] in self.state.active]
-            row = {"run_id": self.run_id, "iter": self.i, "ub": float(found.objective), "lb": float(lb_best),
+            row = {"run_id": self.run_id, "iter": self.i, "ub": float(found.objective), "lb": float(self.lb_best),
                    "n_points": sum(k != "ray" for k in kinds), "n_rays": sum(k == "ray" for k in kinds),
                    "n_added": 0, "n_removed": n_removed, "step": "none", "status": found.status}
             if not math.isfinite(found.objective):
                 row["ub"] = None
             self.iterations.append(row)
             change = abs(found.objective - before) if before is not None else None
-            flat = flat + 1 if change is not None and change <= s.tol else 0
+            self.flat = self.flat + 1 if change is not None and change <= s.tol else 0
             rule = self.stop_rule()
             if rule == "optimo" and (s.hybrid or self.kept_point):
                 # the hybrid loop has its own patience; a kept point is no flat solve
                 rule = "max_iter" if self.i >= s.max_iter else None
-            if rule is None and s.hybrid and flat >= max(s.idle_periods, s.patience):
+            if rule is None and s.hybrid and self.flat >= max(s.idle_periods, s.patience):
                 rule = "optimo"
             if rule is not None:
                 status = rule
                 break
             use_pricing = (not s.hybrid or (s.pricing_every and self.i > 0 and self.i % s.pricing_every == 0)
-                           or flat >= s.patience or added_last == 0)
+                           or self.flat >= s.patience or self.added_last == 0)
             if use_pricing:
                 added = self.price()
                 row["step"] = "pricing"
@@ -277,31 +288,71 @@ class _Loop:
                 if not added and s.max_rays:
                     added = self.gradient_ray()
                     row["step"] = "gradient_ray"
-                if not added and s.hybrid and flat >= s.patience:
+                if not added and s.hybrid and self.flat >= s.patience:
                     status = "optimo"
                     break
             else:
                 added = self.screen()
                 row["step"] = "screening"
-            row["n_added"] = added_last = len(added)
+            row["n_added"] = self.added_last = len(added)
             if self.state_dir:
-                self.save()
+                self.save(self.i + 1, self.progress())
+        else:
+            begun = None
+        if self.state_dir and begun is not None:
+            # a run that goes on from here repeats the step at which this one stopped
+            self.save(self.i, begun)
         if self.unit_rows is not None:
             self.unit_rows.release()
         pool, pool_w = self.state.frames()
         return Run(self.run_id, s, pool, pool_w, self.solution, status, self.iterations, self.history, self.n_init,
                    self.generated, self.removed, self.spark)
 
-    def save(self):
+    def progress(self) -> dict:
+        """What a step hands to the next one, besides tables and the solution."""
+        return {"flat": self.flat, "added_last": self.added_last, "lb_best": self.lb_best, "periods": self.periods,
+                "m_box": self.m_box, "tol": self.tol}
+
+    def save(self, following: int, progress: dict):
+        """Writes the state from which ``resume_from`` goes on with step ``following``."""
         pool, pool_w = self.state.frames()
+        found = self.solution
+        facts = {"following": following, "n_init": self.n_init, "generated": self.generated, "removed": self.removed,
+                 "progress": progress, "solved": {n: getattr(found, n) for n in _SOLVED}}
+        one = self.spark.createDataFrame
         pool_checkpoint({"pool": pool, "pool_w": pool_w, "theta_history": self.theta_history(),
-                         "run_iterations": self.run_iterations()}, self.state_dir, self.run_id, self.i)
+                         "run_iterations": self.run_iterations(), "weights": found.weights, "duals": found.duals,
+                         "coefficients": one([(k, float(v)) for k, v in found.coefficients.items()], "name string, value double"),
+                         "gradient": self.gradient, "facts": one([(self.i, json.dumps(facts, default=float))], "iter int, facts string")},
+                        self.state_dir, self.run_id, self.i)
+
+    def restore(self, saved: dict[str, DataFrame]):
+        facts = json.loads(saved["facts"].first()["facts"])
+        self.first, self.n_init = facts["following"], facts["n_init"]
+        self.generated, self.removed = facts["generated"], facts["removed"]
+        for name, value in facts["progress"].items():
+            setattr(self, name, value)
+        # one row per step, and per step and column: as large as the run keeps on the driver anyway
+        self.iterations = [r.asDict() for r in saved["run_iterations"].orderBy("iter").collect() if r["iter"] < self.first]
+        self.history = [tuple(r) for r in saved["theta_history"].orderBy("iter").collect()
+                        if r["iter"] < self.first or r["event"] == "removed"]
+        self.state.retired = set(self.removed)
+        self.gradient = saved["gradient"]
+        coefficients = {r["name"]: r["value"] for r in saved["coefficients"].collect()}
+        kinds = [(c["col_id"], c["kind"], coefficients.get(c["col_id"], 0.0)) for c in self.state.columns]
+        self.solution = MasterSolution(**facts["solved"], theta=self.spark.createDataFrame(kinds, "col_id string, kind string, coef double"),
+                                       weights=saved["weights"], duals=saved["duals"], coefficients=coefficients)
 
 
 def column_generation(matrix: DataFrame, labels: DataFrame, pool: DataFrame, pool_w: DataFrame,
-                      settings: Settings | None = None, run_id: str = "run", state_dir: str | None = None) -> Run:
-    """The plain loop: master, stop tests, pricing; idle columns are pruned now and then."""
-    return _Loop(matrix, labels, pool, pool_w, settings or Settings(), run_id, state_dir).run()
+                      settings: Settings | None = None, run_id: str = "run", state_dir: str | None = None,
+                      resume_from: str | None = None) -> Run:
+    """The plain loop: master, stop tests, pricing; idle columns are pruned now and then.
+
+    With ``state_dir`` every step is saved.  ``resume_from``, a folder that
+    ``last_checkpoint`` finds there, goes on with the step after it; ``pool`` is not read then.
+    """
+    return _Loop(matrix, labels, pool, pool_w, settings or Settings(), run_id, state_dir, resume_from).run()
 
 
 def column_generation_hybrid(matrix, labels, pool, pool_w, settings: Settings | None = None, **options) -> Run:

@@ -39,16 +39,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that was read as a few large pieces.
-
-    A large input already has more partitions than cores and is returned as it
-    is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     """Write ``df`` to the checkpoint folder, bucketed by ``keys``, and read it back.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 STATE_TABLES = ("pool", "pool_w", "theta_history", "run_iterations")
+# what a run needs besides, to go on where it stopped; facts is written last and marks the state as whole
+RESUME_TABLES = ("coefficients", "weights", "duals", "gradient", "facts")
 
 
 def write_artifact(df: DataFrame, path: str, feature_buckets: int | None = None) -> str:
@@ -32,7 +35,7 @@ def read_artifact(spark: SparkSession, path: str, features: list[int] | None = N
 def pool_checkpoint(state: dict[str, DataFrame], folder: str, run_id: str, iteration: int) -> str:
     """Write the tables of a run under ``folder/run/iteration``; written state is never changed."""
     base = f"{folder}/run_id={run_id}/iter={iteration}"
-    for name in STATE_TABLES:
+    for name in STATE_TABLES + RESUME_TABLES:
         if name in state:
             state[name].write.mode("overwrite").parquet(f"{base}/{name}")
     return base
@@ -40,3 +43,15 @@ def pool_checkpoint(state: dict[str, DataFrame], folder: str, run_id: str, itera
 
 def pool_restore(spark: SparkSession, base: str, names=STATE_TABLES) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{base}/{name}") for name in names}
+
+
+def last_checkpoint(spark: SparkSession, folder: str, run_id: str) -> str | None:
+    """The folder of the latest whole state of a run, None when it has none."""
+    base = f"{folder}/run_id={run_id}"
+    try:
+        latest = spark.read.parquet(f"{base}/iter=*/facts").agg(F.max("iter")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return f"{base}/iter={latest}"
