@@ -235,6 +235,19 @@ def test_decontamination(spark, none):
     assert decontamination.contaminated(none, bench).count() == 0 == decontamination.contaminated(docs, bench.limit(0)).count()
 
 
+def test_decontamination_copied_edit(spark):
+    """One edited version, itself copied: its whole seeds are more frequent than the item's broken ones."""
+    rng = random.Random(11)
+    words = cases.words(rng, 60, 10**6).split()
+    edit = " ".join(f"new{k}" if k % 5 == 4 and k >= 10 or k in (6, 12) else w for k, w in enumerate(words))
+    rows = [(0, " ".join(words))] + [(1 + k, f"{cases.words(rng, 80)} {edit} {cases.words(rng, 40)}") for k in range(40)]
+    rows += [(50, " ".join(words[20:24]) + " " + cases.words(rng, 90, 10**6)), (51, cases.words(rng, 90))]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    docs = cases.documents(spark, rows)
+    assert bag(decontamination.contaminated(docs, bench), "doc_id", "item_id") == Counter((k, 7) for k in range(41))
+    assert sorted(r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()) == [50, 51]
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     pairs = [(rng.integers(0, 4, 9), rng.integers(0, 4, rng.integers(3, 30))) for _ in range(60)]

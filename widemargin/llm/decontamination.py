@@ -1,16 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items become word sequences.  Their ``seed``-word n-grams are counted in all
-documents; of those that occur, each item keeps the eight rarest and all that are at
-most four times as frequent as its middle one.  A
-passage that holds a kept seed of an item is aligned with the item word by word:
+Test items become word sequences.  A passage that holds any ``seed``-word n-gram of
+an item, however frequent, is aligned with the item word by word:
 2 for a match, -1 for another word or a gap.  The best local score, over that of
 the item against itself, is the score; from ``threshold`` on the document holds
-the item, copied or edited.
+the item, copied or edited.  Only passages that can't reach the threshold are not
+aligned: no alignment matches more of an item than the words that the passage holds.
 
-Words are runs of letters and digits, ASCII letters in lower case.  Rarity is
-relative to the item, so an item copied into a third of all documents still has
-seeds.  Items are worked off in blocks of a bounded number of words, each block
+Words are runs of letters and digits, ASCII letters in lower case.  Items are
+worked off in blocks of a bounded number of words, each block
 against all documents, and only a block is broadcast.
 
 Null texts and items hold nothing.  Items shorter than a seed are left out: so few
@@ -28,7 +26,7 @@ SEED, THRESHOLD = 4, 0.5
 #: Characters of items in one block; a block is what a task holds of the benchmark.
 BLOCK_CHARS = 8_000_000
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(range(128, 256))
-_MATCH, _OTHER, _CELLS = 2, -1, 2_000_000
+_MATCH, _OTHER, _CELLS, _POSTINGS = 2, -1, 2_000_000, 2_000_000
 
 
 def _words(texts):
@@ -54,31 +52,24 @@ class Block:
         words, counts = _words(texts)
         self.ids, self.words, self.at, self.seed = ids, words, runs(counts), seed
         self.grams, self.item, self.place = _grams(words, counts, seed)
-        self._order()
-
-    def _order(self):
         order = np.argsort(self.grams, kind="stable")
         self.grams, self.item, self.place = self.grams[order], self.item[order], self.place[order]
         self.seeds, self.first = np.unique(self.grams, return_index=True)
         self.times = np.diff(np.append(self.first, len(self.grams)))
         self.may = np.zeros(1 << 20, bool)  # most n-grams of a text fail this lookup
         self.may[(self.seeds & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    def keep_rare(self, counts: dict[int, int], least: int = 8):
-        n = np.repeat([counts.get(int(s), 0) for s in self.seeds.view(np.int64)], self.times)
-        met = n > 0  # a seed that no document holds finds nothing
-        n, self.grams, self.item, self.place = n[met], self.grams[met], self.item[met], self.place[met]
-        if not len(n):
-            return self._order()
-        order = np.lexsort((self.grams, n, self.item))
-        item = self.item[order]
-        start = np.searchsorted(item, np.arange(len(self.ids)))
-        size = np.bincount(item, minlength=len(self.ids))
-        rank = np.arange(len(item)) - start[item]
-        middle = n[order][np.minimum(start + size // 2, len(order) - 1)]
-        chosen = order[(rank < least) | (n[order] <= 4 * middle[item])]
-        self.grams, self.item, self.place = self.grams[chosen], self.item[chosen], self.place[chosen]
-        self._order()
+        self.vocabulary, self.numbers = np.unique(self.words, return_inverse=True)
+
+    def may_reach(self, item, words, low, high, threshold: float) -> np.ndarray:
+        """Whether words[low:high] holds enough words of the item for the threshold, in any order."""
+        number = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        number[self.vocabulary[number] != words] = len(self.vocabulary)
+        met, reach = np.full(len(self.vocabulary) + 1, -1, np.int64), np.zeros(len(item), bool)
+        for k, (i, a, b) in enumerate(zip(item.tolist(), low.tolist(), high.tolist())):
+            met[number[a:b]] = k
+            own = self.numbers[self.at[i]:self.at[i + 1]]
+            reach[k] = np.count_nonzero(met[own] == k) >= threshold * len(own)
+        return reach
 
     def hits(self, words, counts):
         """(text number, position, index of the seed)."""
@@ -133,6 +124,20 @@ def matches(texts: list[bytes | None], block: Block, threshold: float) -> list[t
     text, place, index = block.hits(words, counts)
     if not len(text):
         return []
+    times, found = block.times[index], {}
+    # postings of whole texts at a time, so that a frequent seed doesn't fill the memory
+    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True)) + 1
+    upto, low = runs(times)[ends], 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _POSTINGS, "right")))
+        part = slice(int(ends[low - 1]) if low else 0, int(ends[high - 1]))
+        _aligned(found, words, at, text[part], place[part], index[part], block, threshold)
+        low = high
+    return [(*k, *v) for k, v in sorted(found.items())]
+
+
+def _aligned(found: dict[tuple, tuple], words, at, text, place, index, block: Block, threshold: float):
+    """Adds to ``found`` what the seeds met in some texts lead to."""
     times = block.times[index]
     row = np.repeat(np.arange(len(text)), times)
     within = np.arange(len(row)) - np.repeat(runs(times)[:-1], times)
@@ -149,18 +154,18 @@ def matches(texts: list[bytes | None], block: Block, threshold: float) -> list[t
     pad = length[first] // 4 + 2
     low = np.maximum(begin[first] - pad, at[text[first]])
     high = np.minimum(begin[last] + length[first] + pad, at[text[first] + 1])
+    reach = block.may_reach(item[first], words, low, high, threshold)
+    first, last, low, high = first[reach], last[reach], low[reach], high[reach]
     scores, ends = align([block.words[block.at[i]:block.at[i + 1]] for i in item[first]], [words[a:b] for a, b in zip(low, high)])
-    found: dict[tuple, tuple] = {}
     for k in np.flatnonzero(scores >= threshold):
         key = (int(text[first[k]]), int(item[first[k]]))
         value = (float(scores[k]), int(last[k] - first[k] + 1), int(low[k] - at[key[0]]), int(low[k] + ends[k] - at[key[0]]))
         if key not in found or value[0] > found[key][0]:
             found[key] = value
-    return [(*k, *v) for k, v in sorted(found.items())]
 
 
 def blocks(documents: DataFrame, items: DataFrame, seed: int = SEED, chars: int = BLOCK_CHARS):
-    """Blocks of items with their rare seeds, one after the other."""
+    """Blocks of items with their seeds, one after the other."""
     small_batches(documents.sparkSession)
     items = items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -168,29 +173,10 @@ def blocks(documents: DataFrame, items: DataFrame, seed: int = SEED, chars: int
     for number in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == number).orderBy("item_id", "text").collect()
         block = Block([r["item_id"] for r in own], [r["text"].encode() for r in own], seed)
-        if len(block.seeds):
-            block.keep_rare(_frequencies(documents, block))
         if len(block.seeds):
             yield block
 
 
-def _frequencies(documents: DataFrame, block: Block) -> dict[int, int]:
-    """Documents that hold each seed of the block."""
-    def run(batches):
-        import pyarrow as pa
-        counts = np.zeros(len(block.seeds), np.int64)
-        for batch in batches:
-            text, _, index = block.hits(*_words(as_bytes(batch.column("text"))))
-            pairs = np.unique(text.astype(np.int64) * len(block.seeds) + index)
-            counts += np.bincount(pairs % len(block.seeds), minlength=len(block.seeds))
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(block.seeds[hit].view(np.int64)), pa.array(counts[hit])], ["seed", "n"])
-
-    # a row per seed of the block at most
-    rows = documents.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    return {r["seed"]: r["n"] for r in rows}
-
-
 def contaminated(documents: DataFrame, items: DataFrame, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, seeds, first_word, end_word): each item that a row of ``documents`` holds."""
     schema = "doc_id long, item_id long, score double, seeds long, first_word long, end_word long"
