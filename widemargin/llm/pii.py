@@ -1,14 +1,15 @@
 """Personal data: base patterns, and terms that reveal them by corpus co-occurrence.
 
 The base kinds (email, ip, card, phone) are patterns with a check each.  Their
-values are the protected entities.  A term near an entity discloses it as far as
-knowing the term tells of the entity:
+values are the protected entities.  A term anywhere in a document of an entity, but
+in no base span, discloses it as far as knowing the term tells of the entity:
 
     disclosure = log(N * c(entity, term) / (c(entity) * c(term))) / log(N / c(entity))
 
 with document counts over the whole corpus; 1 means that the term occurs only
 beside the entity.  Terms of at least ``support`` common documents are removed at
-``remove`` and generalised to their kind of word at ``generalise``.
+``remove`` and generalised to their kind of word at ``generalise``, wherever they
+occur in a document that holds the entity.
 
 Only DataFrame expressions are used.  The patterns are written so that Java's
 matcher is linear: possessive repeats, and starts inside a run that can't match
@@ -38,19 +39,20 @@ _TERM = r"\p{L}{3,}+"
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _matches(text: Column, pattern: str, offset: Column | None = None, lead: str = "") -> Column:
-    """array<struct<start,end,value>> of the leftmost non-overlapping matches."""
+def _matches(text: Column, pattern: str, keep=None) -> Column:
+    """array<struct<start,end,value>> of the leftmost non-overlapping matches, or of those whose value ``keep`` accepts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), F.length)
     zipped = F.arrays_zip(found.alias("value"), F.slice(between, 1, F.size(found)).alias("gap"))
-    begin = F.lit(0) if offset is None else offset
-    state = F.struct(begin.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value")))).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(
+            start.cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value"))))
+        out = out if keep is None else F.when(keep(x["value"]), out).otherwise(acc["out"])
+        return F.struct(end.cast("int").alias("at"), out.alias("out"))
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return F.when(F.size(found) > 0, F.aggregate(zipped, state, step, lambda acc: acc["out"])).otherwise(none)
@@ -93,31 +95,39 @@ def base_spans(documents: DataFrame) -> DataFrame:
     return df.withColumn("_spans", spans).drop("_text", *[f"_{k}" for k in KINDS[:-1]])
 
 
-def _contexts(found: DataFrame, reach: int) -> DataFrame:
-    """(key, entity, term, start, end): the whole words within ``reach`` characters of an entity and in no base span."""
-    each = found.where(F.size("_spans") > 0).select("key", "text", "_spans", F.explode("_spans").alias("s"))
-    low = F.greatest(F.col("s.start") - reach, F.lit(0))
-    high = F.least(F.col("s.end") + reach, F.length("text"))
-    near = each.select("key", "_spans", _entity(F.col("s.kind"), F.col("s.value")).alias("entity"), low.alias("low"),
-                       high.alias("high"), (low > 0).alias("cut_low"), (high < F.length("text")).alias("cut_high"),
-                       F.substring(F.col("text"), low + 1, high - low).alias("region"))
-    words = near.withColumn("w", F.explode(_matches(F.col("region"), _TERM, F.col("low"))))
-    whole = ~(F.col("cut_low") & (F.col("w.start") == F.col("low"))) & ~(F.col("cut_high") & (F.col("w.end") == F.col("high")))
-    clear = ~F.exists("_spans", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start")))
-    return words.where(whole & clear).select("key", "entity", F.lower("w.value").alias("term"),
-                                             F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+def _pairs(seen: DataFrame) -> DataFrame:
+    """(key, entity, term): each term outside the base spans of a document, with each entity of it."""
+    # copies of a row share their key and count once
+    held = seen.where(F.size("_spans") > 0).dropDuplicates(["key"])
+    state = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("out"))
 
+    def step(acc, s):
+        piece = F.substring(F.col("text"), acc["upto"] + 1, F.greatest(s["start"] - acc["upto"], F.lit(0)))
+        return F.struct(F.greatest(s["end"], acc["upto"]).alias("upto"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    outside = F.aggregate("_spans", state, step, lambda acc: F.array_join(F.concat(
+        acc["out"], F.array(F.substring(F.col("text"), acc["upto"] + 1, F.length("text")))), " "))
+    entities = F.array_distinct(F.transform("_spans", lambda s: _entity(s["kind"], s["value"])))
+    each = held.select("key", entities.alias("entities"), F.explode(_words(outside)).alias("term"))
+    return each.select("key", F.explode("entities").alias("entity"), "term")
+
+
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
-def disclosures(documents: DataFrame, contexts: DataFrame, support: int, generalise: float) -> DataFrame:
+
+def disclosures(documents: DataFrame, seen: DataFrame, support: int, generalise: float) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity; counts are documents of the corpus."""
     total = documents.count()
-    entities = contexts.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    pairs = (contexts.select("entity", "term", "key").distinct().groupBy("entity", "term")
-             .agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support).join(entities, "entity"))
+    held = seen.where(F.size("_spans") > 0).select("key", F.explode("_spans").alias("s"))
+    entities = (held.select("key", _entity(F.col("s.kind"), F.col("s.value")).alias("entity")).distinct()
+                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support))
+    pairs = (_pairs(seen).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+             .where(F.col("n_both") >= support).join(entities, "entity"))
     pairs = staged(pairs)
     # counted before the join: what a candidate term selects may be a large part of all words
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    counts = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counts = documents.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = F.lit(float(max(total, 1)))
     # copies of a row share their key, so a count can exceed that of the keys: never below it
     n_term = F.greatest("n_term", "n_both")
@@ -127,7 +137,20 @@ def disclosures(documents: DataFrame, contexts: DataFrame, support: int, general
     return pairs.join(counts, "term").select("entity", "term", value.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def find_pii(documents: DataFrame, reach: int = 60, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def _occurrences(text: Column, spans: Column, terms: Column, remove: float) -> Column:
+    """Every occurrence in ``text`` of one of ``terms``, (term, disclosure) each, in no base span."""
+    values = F.transform(terms, lambda t: t["term"])
+    words = F.filter(_matches(text, _TERM, keep=lambda value: F.array_contains(values, F.lower(value))),
+                     lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+
+    def span(w):
+        term = F.get(terms, F.array_position(values, F.lower(w["value"])).cast("int") - 1)
+        return F.struct(w["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), w["end"].alias("end"), term["term"].alias("value"),
+                        F.when(term["d"] >= remove, "remove").otherwise("generalise").alias("action"))
+    return F.transform(words, span)
+
+
+def find_pii(documents: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(doc_id, key, spans): one row per row of ``documents`` (doc_id, text, ...).
 
     spans holds (start, kind, end, value, action), sorted; action is ``mask`` for
@@ -136,18 +159,15 @@ def find_pii(documents: DataFrame, reach: int = 60, support: int = 3, generalise
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", row_key())
     found = base_spans(docs)
     seen = staged(found.select("doc_id", "key", "_spans", F.when(F.size("_spans") > 0, F.col("text")).alias("text")))
-    contexts = staged(_contexts(seen, reach).distinct())
-    revealing = disclosures(docs, contexts, support, generalise)
-    added = (contexts.join(revealing, ["entity", "term"]).groupBy("key", "start", "end")
-             .agg(F.max("disclosure").alias("d"), F.max("term").alias("value"))
-             .groupBy("key").agg(F.collect_list(F.struct(
-                 "start", F.lit(len(KINDS) - 1).alias("kind"), "end", "value",
-                 F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("action"))).alias("terms")))
+    revealing = staged(disclosures(docs, seen, support, generalise))
+    terms = (_pairs(seen).join(revealing, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("d"))
+             .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "d"))).alias("terms")))
     full = "array<struct<start:int,kind:int,end:int,value:string,action:string>>"
     base = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
                                                    s["value"].alias("value"), F.lit("mask").alias("action"))).cast(full)
-    return seen.drop("text").join(added, "key", "left").select(
-        "doc_id", "key", F.sort_array(F.concat(base, F.coalesce(F.col("terms").cast(full), F.array().cast(full)))).alias("spans"))
+    added = F.when(F.col("terms").isNotNull(), _occurrences(F.col("text"), F.col("_spans"), F.col("terms"), remove).cast(full))
+    return seen.join(terms, "key", "left").select(
+        "doc_id", "key", F.sort_array(F.concat(base, F.coalesce(added, F.array().cast(full)))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
