@@ -330,3 +330,10 @@ def test_licences(spark, none):
     assert got == {1: ("MIT", "own"), 2: ("GPL-3.0", "a/b"), 3: ("GPL-3.0", "own"), 4: ("MIT", "a"), 5: (None, None),
                    6: ("Apache-2.0", "own"), 7: (None, None), 8: (None, None)}
     assert licences.scan_licences(none, F.col("path")).count() == 0
+
+
+def test_licence_frequencies(spark):
+    """Words and pairs of the templates count in whole texts, with or without a word of licensing."""
+    table = spark.createDataFrame([("to any of the\nOF THE",), ("out of the box",), ("under the License\nand of the rest",), (None,)], "text string")
+    counts, total = licences._frequencies(table, {"X": ("of the to any licence",)})
+    assert total == 4 and {t: counts.get(t, 0) for t in ("of", "of the", "to any", "any licence")} == {"of": 3, "of the": 3, "to any": 1, "any licence": 0}

@@ -109,21 +109,17 @@ def _frequencies(files: DataFrame, templates) -> tuple[dict[str, int], int]:
     """Documents that hold each template term, and how many documents there are."""
     vocabulary = {t for group in templates.values() for x in group for t in terms(x)}
 
+    pairs = {tuple(t.split()) for t in vocabulary if " " in t}
+
     def run(batches):
         import pyarrow as pa
-        words = sorted(t for t in vocabulary if " " not in t)
         counts, n = Counter(), 0
-        find = re.compile(r"(?<![a-z0-9.])(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?![a-z0-9])")
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
-                if text:
-                    text = text.lower()
-                    held = {w for w in words if w in text}
-                    if held:
-                        counts.update(held & set(find.findall(text)))
-                        if _CUE.search(text):
-                            counts.update({t for part in notices(text) for t in terms(part) if " " in t} & vocabulary)
+                words = _TERM.findall(text.lower()) if text else ()
+                counts.update(vocabulary.intersection(words))
+                counts.update(f"{a} {b}" for a, b in pairs.intersection(zip(words, words[1:])))
         counts[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
