@@ -337,3 +337,16 @@ def test_licence_frequencies(spark):
     table = spark.createDataFrame([("to any of the\nOF THE",), ("out of the box",), ("under the License\nand of the rest",), (None,)], "text string")
     counts, total = licences._frequencies(table, {"X": ("of the to any licence",)})
     assert total == 4 and {t: counts.get(t, 0) for t in ("of", "of the", "to any", "any licence")} == {"of": 3, "of the": 3, "to any": 1, "any licence": 0}
+
+
+def test_licence_texts(spark):
+    """Real licence files, line-wrapped, and a short notice amid a long line."""
+    rng, texts = random.Random(13), licences.full_texts()
+    mit = "The MIT License\n\nCopyright (c) 2021 Some Holder and others\n\n" + texts["MIT"][0].split("\n", 2)[2]
+    around = f"{cases.words(rng, 100)} Released under the MIT License. {cases.words(rng, 100)}"
+    files = [(1, "m/LICENSE", mit), (2, "m/x/y.py", "print"), (3, "a/COPYING", texts["Apache-2.0"][0]), (4, "a/y.py", None),
+             (5, "g/COPYING", texts["GPL-3.0"][0]), (6, "g/h/z.py", ""), (7, "n/readme", around), (8, "n/y.py", "x")]
+    found = licences.scan_licences(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()
+    assert {r["doc_id"]: (r["licence"], r["licence_file"], r["licence_source"]) for r in found} == {
+        1: ("MIT", True, "own"), 2: ("MIT", False, "m"), 3: ("Apache-2.0", True, "own"), 4: ("Apache-2.0", False, "a"),
+        5: ("GPL-3.0", True, "own"), 6: ("GPL-3.0", False, "g"), 7: ("MIT", False, "own"), 8: (None, False, None)}

@@ -1,10 +1,11 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Lines that speak of licensing (a line, or windows of a long one) are compared with
-template texts by the cosine of sparse TF-IDF vectors of words and word pairs.
+Words around a cue of licensing are compared with template sentences, in every window
+of the sentence's own length, and whole texts with a cue with the full licence texts
+in ``licence_texts``, by the cosine of sparse TF-IDF vectors of words and word pairs.
 Document frequencies of the templates' terms are counted over the whole corpus;
 terms outside the templates weigh as much as the heaviest template term.  A file
-whose text is mostly such a notice is a licence file of its directory.  A file
+that is close to a full text, or mostly notices, is a licence file of its directory.  A file
 without a notice of its own inherits from its nearest ancestor directory with a
 licence file: directories are spread over their ancestors and joined by path, so
 work grows with directories times depth, not with pairs.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from math import log, sqrt
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,7 +49,6 @@ TEMPLATES = {
 }
 _CUE = re.compile(r"licen[cs]|copyright|redistribution|hereby granted|cc0|spdx", re.I)
 _TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
-_WINDOW = 30
 
 
 def terms(text: str) -> Counter:
@@ -56,59 +57,93 @@ def terms(text: str) -> Counter:
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
-def notices(text: str) -> list[str]:
-    """Lines that speak of licensing; a long line gives overlapping windows around what it says."""
-    found = []
-    for line in text.split("\n"):
-        if not _CUE.search(line):
-            continue
-        words = line.split()
-        if len(words) <= _WINDOW:
-            found.append(line)
-        else:
-            step = _WINDOW // 2
-            parts = (" ".join(words[i:i + _WINDOW]) for i in range(0, max(len(words) - step, 1), step))
-            found += [p for p in parts if _CUE.search(p)]
-    return found
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """The full text of each licence, as far as ``licence_texts`` has it."""
+    return {p.stem: (p.read_text(),) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 
 class Matcher:
-    """Templates as unit vectors over their terms."""
+    """Sentences and full texts as sparse unit vectors over their terms."""
 
-    def __init__(self, frequencies: dict[str, int], total: int, templates=TEMPLATES):
-        texts = [(name, terms(t)) for name, group in sorted(templates.items()) for t in group]
-        self.names = [n for n, _ in texts]
-        vocabulary = sorted({t for _, c in texts for t in c})
+    def __init__(self, frequencies: dict[str, int], total: int, templates=TEMPLATES, texts=()):
+        vocabulary = sorted({t for group in (templates, dict(texts)) for g in group.values() for x in g for t in terms(x)})
         self.column = {t: k for k, t in enumerate(vocabulary)}
-        self.idf = np.array([log((1 + total) / (1 + frequencies.get(t, 0))) + 1 for t in vocabulary])
-        self.other = float(self.idf.max())
-        self.rows = np.zeros((len(texts), len(vocabulary)))
-        for row, (_, count) in zip(self.rows, texts):
-            for t, n in count.items():
-                row[self.column[t]] = n * self.idf[self.column[t]]
-        self.rows /= np.linalg.norm(self.rows, axis=1, keepdims=True)
-
-    def best(self, text: str) -> tuple[str | None, float]:
-        """(licence, cosine) of the nearest template."""
-        inside, square, known = np.zeros(len(self.idf)), 0.0, False
-        for t, n in terms(text).items():
-            k = self.column.get(t)
-            if k is None:
-                square += (n * self.other) ** 2
-            else:
-                known = True
-                inside[k] = n * self.idf[k]
-        if not known:
+        # the last column is every term outside the templates
+        idf = [log((1 + total) / (1 + frequencies.get(t, 0))) + 1 for t in vocabulary]
+        self.idf = np.array([*idf, max(idf, default=1.0)])
+        self.names, self.rows, self.lengths = self._rows(templates)
+        self.text_names, self.text_rows, _ = self._rows(dict(texts))
+
+    def _rows(self, templates):
+        listed = [(name, t) for name, group in sorted(templates.items()) for t in group]
+        rows = np.zeros((len(listed), len(self.idf)))
+        for row, (_, t) in zip(rows, listed):
+            for x, n in terms(t).items():
+                row[self.column[x]] = n * self.idf[self.column[x]]
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        return [n for n, _ in listed], rows, [len(_TERM.findall(t.lower())) for _, t in listed]
+
+    def _weight(self, words: list[str]) -> float:
+        """Length of the vector of these words and their pairs."""
+        found = Counter(words) + Counter(zip(words, words[1:]))
+        other = len(self.column)
+        return sqrt(sum((n * self.idf[self.column.get(t if isinstance(t, str) else " ".join(t), other)]) ** 2 for t, n in found.items()))
+
+    def whole(self, words: list[str]) -> tuple[str | None, float]:
+        """(licence, cosine) of the nearest full text."""
+        if not self.text_names or not words:
             return None, 0.0
-        scores = self.rows @ inside / sqrt(square + float(inside @ inside))
+        columns = [self.column.get(t, -1) for t in words] + [self.column.get(f"{a} {b}", -1) for a, b in zip(words, words[1:])]
+        columns = np.array([c for c in columns if c >= 0], np.int64)
+        scores = self.text_rows[:, columns] @ self.idf[columns] / self._weight(words)
         k = int(scores.argmax())
-        return self.names[k], float(scores[k])
-
-
-def _frequencies(files: DataFrame, templates) -> tuple[dict[str, int], int]:
+        return self.text_names[k], float(scores[k])
+
+    def notices(self, words: list[str], cues: np.ndarray, least: float) -> list[tuple[float, str, int, int]]:
+        """(-cosine, licence, start, end) of the windows around a cue that are ``least`` close to a sentence."""
+        other, found = len(self.column), []
+        single = np.array([self.column.get(t, other) for t in words], np.int64)
+        double = np.array([self.column.get(f"{a} {b}", other) for a, b in zip(words, words[1:])], np.int64)
+        upto = lambda x: np.concatenate([np.zeros(1), np.cumsum(x)])
+        square = upto(self.idf[single] ** 2), upto(self.idf[double] ** 2)
+        for name, row, size in zip(self.names, self.rows, self.lengths):
+            size = min(size, len(words))
+            start = np.unique(np.clip((cues[:, None] - np.arange(size)).ravel(), 0, len(words) - size))
+            product = upto(row[single] * self.idf[single]), upto(row[double] * self.idf[double])
+            sums = [x[start + size] - x[start] + y[start + size - 1] - y[start] for x, y in (product, square)]
+            # repeats inside a window only make its vector longer: the first cosine is never too low
+            for k in np.flatnonzero(sums[0] >= (least - 1e-9) * np.sqrt(np.maximum(sums[1], 1e-12))):
+                i = int(start[k])
+                value = float(sums[0][k]) / self._weight(words[i:i + size])
+                if value >= least:
+                    found.append((-value, name, i, i + size))
+        return sorted(found)
+
+    def measure(self, text: str | None, least: float, share: float, near: float) -> tuple[str | None, float | None, bool]:
+        """(licence, cosine, whether the text is a licence file)."""
+        text = (text or "").lower()
+        at = [m.start() for m in _CUE.finditer(text)]
+        tokens = list(_TERM.finditer(text)) if at else []
+        if not tokens:
+            return None, None, False
+        words = [m.group() for m in tokens]
+        name, value = self.whole(words)
+        if value >= near:
+            return name, value, True
+        cues = np.unique(np.maximum(np.searchsorted([m.start() for m in tokens], at, "right") - 1, 0))
+        found = self.notices(words, cues, least)
+        if not found:
+            return None, None, False
+        taken = np.zeros(len(words), bool)
+        for _, _, low, high in found:  # the closest first, without overlap
+            if not taken[low:high].any():
+                taken[low:high] = True
+        return found[0][1], -found[0][0], bool(taken.sum() >= share * len(words))
+
+
+def _frequencies(files: DataFrame, *templates) -> tuple[dict[str, int], int]:
     """Documents that hold each template term, and how many documents there are."""
-    vocabulary = {t for group in templates.values() for x in group for t in terms(x)}
-
+    vocabulary = {t for one in templates for group in one.values() for x in group for t in terms(x)}
     pairs = {tuple(t.split()) for t in vocabulary if " " in t}
 
     def run(batches):
@@ -128,20 +163,11 @@ def _frequencies(files: DataFrame, templates) -> tuple[dict[str, int], int]:
     return rows, rows.pop("", 0)
 
 
-def _measure(matcher: Matcher, least: float, share: float):
+def _measure(matcher: Matcher, least: float, share: float, near: float):
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                name, score, covered = None, 0.0, 0
-                for part in notices(text) if text and _CUE.search(text) else ():
-                    found, value = matcher.best(part)
-                    if value >= least:
-                        covered += len(part)
-                        if (-value, found) < (-score, name or ""):
-                            name, score = found, value
-                rows.append((name, score if name else None, bool(name) and covered >= share * len(text)))
+            rows = [matcher.measure(text, least, share, near) for text in batch.column("text").to_pylist()]
             name, score, whole = zip(*rows) if rows else ((),) * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(name, pa.string()),
                                               pa.array(score, pa.float64()), pa.array(whole, pa.bool_())],
@@ -149,17 +175,18 @@ def _measure(matcher: Matcher, least: float, share: float):
     return run
 
 
-def scan_licences(files: DataFrame, path: Column, least: float = 0.5, share: float = 0.5, templates=TEMPLATES) -> DataFrame:
+def scan_licences(files: DataFrame, path: Column, least: float = 0.5, share: float = 0.5, templates=TEMPLATES, near: float = 0.75) -> DataFrame:
     """(doc_id, path, licence, cosine, licence_file, licence_source) per row of ``files`` (doc_id, text, ...).
 
     ``least`` is the cosine of a notice, ``share`` the part of a licence file's text
-    that notices make up.  licence_source is ``own``, the directory inherited from,
+    that notices make up, ``near`` its cosine to a full licence text.  licence_source is ``own``, the directory inherited from,
     or null.
     """
     small_batches(files.sparkSession)
-    matcher = Matcher(*_frequencies(files, templates), templates)
+    texts = full_texts()
+    matcher = Matcher(*_frequencies(files, templates, texts), templates, texts)
     given = files.select(F.col("doc_id").cast("long").alias("doc_id"), path.cast("string").alias("path"), "text")
-    found = staged(given.mapInArrow(_measure(matcher, least, share),
+    found = staged(given.mapInArrow(_measure(matcher, least, share, near),
                                     "doc_id long, path string, licence string, cosine double, licence_file boolean"))
     found = found.withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
     own = (found.where(F.col("licence_file") & F.col("path").isNotNull()).groupBy("directory")
