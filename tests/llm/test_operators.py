@@ -321,6 +321,18 @@ def test_language(spark, docs, none, sf_dir):
     assert language.identify(none, language.fit(none)).count() == 0
 
 
+def test_language_many(spark):
+    """Every lang value is learned, however many there are."""
+    rng = random.Random(14)
+    rows = [(8 * k + j, " ".join(f"{chr(0x4E00 + 40 * k + rng.randrange(40))}{chr(0x4E00 + 40 * k + rng.randrange(40))}" for _ in range(60)), f"l{k:03}")
+            for k in range(210) for j in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(table)
+    assert model.languages == sorted({r[2] for r in rows})
+    names, _ = model.predict([r[1] for r in rows])
+    assert sum(a == r[2] for a, r in zip(names, rows)) >= 0.95 * len(rows)
+
+
 def test_licences(spark, none):
     mit, gpl = licences.TEMPLATES["MIT"][0], licences.TEMPLATES["GPL-3.0"][0]
     files = [(1, "a/LICENSE", mit), (2, "a/b/c/x.py", "print"), (3, "a/b/LICENSE", gpl), (4, "a/y.py", None), (5, "z/y.py", ""),

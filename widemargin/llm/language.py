@@ -7,8 +7,8 @@ K(text, Z) K(Z, Z)^(-1/2).  One-versus-rest ridge regression on that is kernel
 ridge regression; a text is scored by one matrix product per batch.  Long texts
 are cut into passages and their scores averaged by length, so whole texts count.
 
-The labelled sample is bounded: of at most ``languages`` languages, ``per_language``
-texts each, the first by hash of the id, ``pieces`` passages of each; ``landmarks``
+The labelled sample is bounded: of every language ``per_language``
+texts, the first by hash of the id, ``pieces`` passages of each; ``landmarks``
 of those passages are landmarks.  n-grams are hashed to ``DIMENSIONS`` presence
 bits.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from widemargin.llm.common import fold, small_batches
 
@@ -99,23 +99,21 @@ def fit_passages(texts: list[str], labels: list[str], landmarks: int = 192, ridg
     return Model(names, marks, (root @ solved).astype(np.float32))
 
 
-def fit(documents: DataFrame, per_language: int = 250, languages: int = 200, pieces: int = 2) -> Model:
+def fit(documents: DataFrame, per_language: int = 250, pieces: int = 2) -> Model:
     """Learns from text and lang of the rows whose crc32 of the id, mod 4, is not 2."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
         "doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~fold("doc_id", 2, 4))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     small_batches(documents.sparkSession)
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    wanted = None
-    for name in names:  # ids only, at most per_language of each language
-        own = rows.where(F.col("lang") == name).select("doc_id", "lang", order.alias("_h")).distinct().orderBy("_h", "doc_id").limit(per_language)
-        wanted = own if wanted is None else wanted.union(own)
-    if wanted is None:
-        return Model([])
+    # ids only, at most per_language of each language: the first of its parts first, so that a large one is not one task
+    ids = rows.select("doc_id", "lang", order.alias("_h")).distinct().withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
+    for keys in (["lang", "_part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))
+        ids = ids.withColumn("_rank", rank).where(F.col("_rank") <= per_language).drop("_rank")
     count = F.greatest(F.lit(1), F.round(F.length("text") / _PASSAGE)).cast("int")
     spread = F.transform(F.sequence(F.lit(0), F.least(count, F.lit(pieces)) - 1), lambda i: F.substring(
         F.col("text"), (i * F.greatest(F.length("text") - _PASSAGE, F.lit(0)) / F.greatest(F.least(count, F.lit(pieces)) - 1, F.lit(1))).cast("int") + 1, F.lit(_PASSAGE)))
-    sample = (rows.join(F.broadcast(wanted.select("doc_id", "lang")), ["doc_id", "lang"])
+    sample = (rows.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
               .groupBy("doc_id", "lang").agg(F.max("text").alias("text")).select("doc_id", "lang", F.explode(spread).alias("text"))
               .where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id", "lang", "text").collect())
     return fit_passages([r["text"] for r in sample], [r["lang"] for r in sample])
