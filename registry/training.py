@@ -180,9 +180,11 @@ def _pool_slacks(spark, sf_dir):
     pool, pool_w = clean_vector_pool(spark, sf_dir)
     pool_w = pool_w.withColumn("weight", F.col("weight") * 10)
     z = C.project_rows(matrix, pool_w)
+    columns = pool.select("col_id").limit(C.MAX_GRAM_COLUMNS + 1).collect()
+    if len(columns) > C.MAX_GRAM_COLUMNS:
+        raise ValueError(f"the pool has more than {C.MAX_GRAM_COLUMNS} columns")
     # every column meets every row once: the pool is a small table
-    pairs = labels.withColumn("col_id", F.explode(F.array(*[F.lit(r["col_id"]) for r in
-                                                            pool.select("col_id").limit(C.MAX_GRAM_COLUMNS).collect()])))
+    pairs = labels.withColumn("col_id", F.explode(F.array(*[F.lit(r["col_id"]) for r in columns])))
     scored = pairs.join(z, ["row_id", "col_id"], "left").join(pool.select("col_id", "b"), "col_id")
     xi = F.greatest(F.lit(0.0), 1 - F.col("y") * (F.coalesce("z", F.lit(0.0)) + F.col("b")))
     return pool, pool_w, scored.select("col_id", "row_id", xi.alias("xi")).where(F.col("xi") > 0)

@@ -289,3 +289,12 @@ def test_box_takes_every_feature_that_leaves_it(spark, planted):
     assert boxed.weights.agg(F.max(F.abs("weight"))).first()[0] <= limit * (1 + 1e-6)
     assert boxed.status == "box_active" and boxed.objective >= free.lower - 1e-6
     state.release()
+
+
+def test_stored_slack_keeps_every_column(spark, sf_dir, monkeypatch):
+    from registry import training
+    monkeypatch.setattr(training.C, "MAX_GRAM_COLUMNS", 1)
+    monkeypatch.setattr(training, "clean_vector_pool", lambda *_: (
+        spark.createDataFrame([(1, 0.0), (2, 0.0)], "col_id long, b double"), spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0)], "col_id long, feature_id long, weight double")))
+    with pytest.raises(ValueError):
+        training._pool_slacks(spark, sf_dir)
