@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from widemargin.llm import language, quality
 from widemargin.llm.common import table
 from widemargin.llm.decontamination import contaminated
+from widemargin.llm.hard_negatives import hard_negatives, labelled
 from widemargin.llm.licences import scan_licences
 from widemargin.llm.mixing import mix
+from widemargin.llm.neighbours import nearest_neighbours
 from widemargin.llm.ngram_jaccard import jaccard_classes
 from widemargin.llm.pii import pii_report
 from widemargin.llm.secrets import secret_report
 from widemargin.llm.substring_dedup import remove_repeats
 from widemargin.llm.topk import top_k
+from widemargin.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +147,36 @@ def op10(spark, sf_dir):
     """Texts lie in a directory per source and language."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return scan_licences(table(spark, sf_dir, "documents"), path)
+
+
+@query("op11_nearest_neighbours")
+def op11(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+        list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark, sf_dir):
+    """The label of every seventh id is off by one."""
+    label = F.col("label").cast("long")
+    rows = labelled(table(spark, sf_dir, "embeddings"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
