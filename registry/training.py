@@ -49,10 +49,11 @@ def scaled_pool(spark, sf_dir):
 @query("linear_svm")
 def _(spark, sf_dir):
     matrix, labels = _vectors(spark, sf_dir)
-    m = V.linear_svm(matrix, labels, COST, max_iter=50)
+    m = V.linear_svm(matrix, labels, COST)
     scored = M.margins_slacks(M.predict(M.scores(labels, matrix, m.weights, m.b), zero_as=-1))
-    return rounded(M.fit_summary(scored, m.weights, scored, COST).withColumn("squared_objective", F.lit(m.objective)),
-                   "squared_objective", "obj_val", "norm_w", "sum_xi")
+    return rounded(M.fit_summary(scored, m.weights, scored, COST).withColumns({
+        "squared_objective": F.lit(m.objective), "lb": F.lit(m.lower), "gap": F.lit(m.gap), "status": F.lit(m.status)}),
+        "squared_objective", "lb", "gap", "obj_val", "norm_w", "sum_xi")
 
 
 @query("conic_svm")
@@ -68,7 +69,7 @@ def _(spark, sf_dir):
 @query("conic_svm_wide")
 def _(spark, sf_dir):
     matrix, labels, _ = _texts(spark, sf_dir)
-    m = V.conic_svm(matrix, labels, COST, tol=1e-2, wide_iterations=4)
+    m = V.conic_svm(matrix, labels, COST, tol=1e-2)
     return _report(spark, [{"ub": m.objective, "lb": m.lower, "gap": m.gap, "passes": m.passes, "status": m.status}])
 
 
@@ -244,13 +245,13 @@ def _(spark, sf_dir):
 
 @query("price_column_wide")
 def _(spark, sf_dir):
-    """Pricing on a working set of text features, bounded over all of them."""
+    """Pricing over all text features."""
     matrix, labels, _ = _texts(spark, sf_dir)
     start = D.equalised_duals(labels.select("row_id", "y", F.lit(0.0).alias("margin"), F.lit(COST).alias("pi")))
     gradient = D.dual_feature_sums(matrix, start).withColumnRenamed("s", "grad")
-    c = R.price_column(matrix, labels, D.scale_gradient(gradient, 1e-8), COST, 10.0, tol=5e-2, working=96, rounds=2)
+    c = R.price_column(matrix, labels, D.scale_gradient(gradient, 1e-8), COST, 10.0, tol=1e-2)
     return _report(spark, [{"ub": round(c.objective, 6), "lb": round(c.lower, 6), "norm_w": round(c.norm_w, 6),
-                            "n_working": c.n_working, "status": c.status}])
+                            "gap": round((c.objective - c.lower) / abs(c.objective), 6), "status": c.status}])
 
 
 # ---------------------------------------------------------------- E: loops

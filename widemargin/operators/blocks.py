@@ -19,7 +19,7 @@ from widemargin.operators.master import MasterState
 from widemargin.operators.newton import Regulariser, combination_bound, combination_set, minimise, squared_bound
 from widemargin.operators.pool import POOL_SCHEMA, active_columns, normalize_columns, prune_weights, zero_column
 from widemargin.operators.rows import hinge_terms, split_terms
-from widemargin.operators.svm import conic_svm, subspace_svm
+from widemargin.operators.svm import conic_svm, linear_svm
 from widemargin.session import cut_lineage
 
 # A model is solved inside one task up to this many dense cells and features.
@@ -149,7 +149,7 @@ def _fit_large(matrix, labels, groups, bags, row, cost, norm, tol) -> DataFrame:
         chosen = bags.where(F.col("model_id") == name).select("row_id")
         part, rows = part.join(chosen, "row_id", "left_semi"), labels.join(chosen, "row_id", "left_semi")
     try:
-        model = conic_svm(part, rows, cost, tol) if norm == "norm" else subspace_svm(part, rows, cost, tol, norm="squared")
+        model = (conic_svm if norm == "norm" else linear_svm)(part, rows, cost, tol)
         facts = (float(model.b), float(model.sum_xi), float(model.objective), float(model.lower), int(row["n_features"]))
         weights = model.weights.where(F.col("weight") != 0)
         head = spark.createDataFrame([(-1, 0.0)], "feature_id long, weight double")

@@ -6,25 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
-from widemargin.operators.bounds import dual_bound, dual_feature_sums, equalised_duals, hinge_duals
-from widemargin.operators.master import MasterState
-from widemargin.operators.newton import Regulariser, combination_bound, combination_set, minimise, nonnegative_fit
-from widemargin.operators.pool import POOL_SCHEMA
+from widemargin.operators.ascent import MAX_EPOCHS, Ascended, StoredMatrix, fit_norm
+from widemargin.operators.bounds import dual_bound, hinge_duals
+from widemargin.operators.newton import Regulariser, combination_bound, combination_set, minimise
 from widemargin.operators.rows import block_evaluator, block_scores, pack_blocks
 from widemargin.session import cut_lineage
 
-# Up to this many features Newton steps run on the features themselves.
+# Up to this many features Newton steps may run on the features themselves.
 NARROW_FEATURES = 512
-# The library model keeps dense vectors of this length on the driver and in tasks.
-LIBRARY_FEATURES = 1_000_000
-_DENSE_FEATURES = 1_024
-# bytes of vectors worth a task of their own
-_TASK_BYTES = 4 << 20
 
 
 @dataclass
@@ -64,45 +55,26 @@ def weight_table(spark, features: np.ndarray, values: np.ndarray) -> DataFrame:
                                  "feature_id long, weight double")
 
 
-def linear_svm(matrix: DataFrame, labels: DataFrame, cost: float = 1.0, max_iter: int = 100,
-               tol: float = 1e-4) -> SvmModel:
-    """Hinge-loss baseline (|w|^2)/2 + C*sum(xi) with the library solver; the intercept is not penalised."""
-    spark = matrix.sparkSession
-    facts = matrix.agg(F.max("feature_id").alias("top")).first()
-    size = int(facts["top"] or 0) + 1
-    if size > LIBRARY_FEATURES:
-        return subspace_svm(matrix, labels, cost, norm="squared")
-    n_rows = labels.count()
-    cells = matrix.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("c"))
-    rows = labels.join(cells, "row_id", "left").withColumn("label", (F.col("y") > 0).cast("double"))
-    if size <= _DENSE_FEATURES:
-        lookup = F.map_from_arrays(F.col("c.feature_id"), F.col("c.value"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                            lambda j: F.coalesce(F.try_element_at(lookup, j.cast("long")), F.lit(0.0)))
-        none = F.array_repeat(F.lit(0.0), size)
-        vector = array_to_vector(F.when(F.col("c").isNull(), none).otherwise(dense))
-    else:
-        # adapter to the library's sparse vector type
-        vector = F.udf(lambda c: SparseVector(size, [(x["feature_id"], x["value"]) for x in c or []]), VectorUDT())("c")
-    cores = spark.sparkContext.defaultParallelism
-    tasks = int(min(cores, max(1, n_rows * min(size, _DENSE_FEATURES) * 8 // _TASK_BYTES)))
-    train = rows.select("row_id", "y", "label", vector.alias("features")).coalesce(tasks).persist()
-    model = LinearSVC(regParam=1.0 / (n_rows * cost), standardization=False, maxIter=max_iter, tol=tol).fit(train)
-    train.unpersist()
-    values = model.coefficients.toArray()
-    weights = weight_table(spark, np.arange(size, dtype="int64"), values)
-    from widemargin.operators.metrics import margins_slacks, scores
-    slack = margins_slacks(scores(labels, matrix, weights, model.intercept)).agg(F.sum("xi")).first()[0]
-    return SvmModel(weights, float(model.intercept), float(0.5 * values @ values + cost * slack), float("-inf"),
-                    float(slack), int(max_iter), "library")
-
-
-def conic_svm(matrix: DataFrame, labels: DataFrame, cost: float = 1.0, tol: float = 1e-3,
-              max_passes: int = 120, wide_iterations: int = 12, narrow: int = NARROW_FEATURES) -> SvmModel:
-    """min |w| + C*sum(xi), the norm not squared, with a proven lower bound."""
-    features = feature_list(matrix, narrow)
+def _ascended(found: Ascended) -> SvmModel:
+    return SvmModel(found.weights, found.b, found.objective, found.lower, found.sum_xi, found.epochs, found.status, cut_lineage(found.duals))
+
+
+def linear_svm(matrix: DataFrame, labels: DataFrame, cost: float = 1.0, tol: float = 1e-3, max_epochs: int = MAX_EPOCHS,
+               stored: StoredMatrix | None = None) -> SvmModel:
+    """Hinge-loss baseline (|w|^2)/2 + C*sum(xi) by dual ascent, with a proven lower bound; the intercept is not penalised."""
+    return _ascended(fit_norm(stored or StoredMatrix(matrix, labels), cost, tol, squared=True, max_epochs=max_epochs))
+
+
+def conic_svm(matrix: DataFrame, labels: DataFrame, cost: float = 1.0, tol: float = 1e-3, max_passes: int = 120,
+              narrow: int = NARROW_FEATURES, max_epochs: int = MAX_EPOCHS, stored: StoredMatrix | None = None) -> SvmModel:
+    """min |w| + C*sum(xi), the norm not squared, to a proven gap.
+
+    Dual ascent by row blocks serves any number of features.  Up to ``narrow`` features Newton steps on the features
+    themselves end at the same bound with fewer jobs; ``narrow=0`` leaves them out.
+    """
+    features = feature_list(matrix, narrow) if narrow else None
     if features is None:
-        return subspace_svm(matrix, labels, cost, tol, wide_iterations)
+        return _ascended(fit_norm(stored or StoredMatrix(matrix, labels), cost, tol, max_epochs=max_epochs))
     size = len(features)
     packed = pack_blocks(labels, index_features(matrix, features))
     rays = np.zeros(size, bool)
@@ -114,62 +86,6 @@ def conic_svm(matrix: DataFrame, labels: DataFrame, cost: float = 1.0, tol: floa
                     found.objective, found.lower, found.hinge, found.passes, found.status, duals)
 
 
-def subspace_svm(matrix: DataFrame, labels: DataFrame, cost: float = 1.0, tol: float = 1e-3, iterations: int = 12,
-                 norm: str = "norm") -> SvmModel:
-    """Any number of features: Newton steps in the span of the gradients seen so far.
-
-    Each round adds the direction X'(y*pi) of the current duals as one column of
-    a pool and minimises over all free combinations.  The weights and gradients
-    are tables; the driver holds one coefficient per round.
-    """
-    spark = matrix.sparkSession
-    state = MasterState(matrix, labels, cost)
-    start = labels.select("row_id", "y", F.lit(0.0).alias("margin"), F.lit(float(cost)).alias("pi"))
-    duals, lower, solution, passes = cut_lineage(equalised_duals(start)), -np.inf, None, 0
-    lengths, totals = [], []
-    for turn in range(iterations):
-        sums = cut_lineage(dual_feature_sums(state.matrix, duals))
-        length = sums.agg(F.sqrt(F.sum(F.col("s") * F.col("s")))).first()[0] or 0.0
-        total = duals.agg(F.sum("pi")).first()[0] or 0.0
-        if length <= 1e-12:
-            lower = max(lower, total)
-            break
-        name = f"p_grad{turn:03d}"
-        pool = spark.createDataFrame([(name, "point", "gradient", turn, 0.0)], POOL_SCHEMA)
-        state.add(pool, sums.select(F.lit(name).alias("col_id"), "feature_id", (F.col("s") / length).alias("weight")))
-        lengths.append(length)
-        totals.append(total)
-        lower = max(lower, mixed_bound(state.gram * np.outer(lengths, lengths), np.array(totals), norm))
-        if solution is not None and (solution.objective - lower) <= tol * max(1.0, abs(solution.objective)):
-            break
-        solution = state.solve("libre", ridge=0.0, tol=0.3 * tol, max_passes=40,
-                               start=solution.coefficients if solution else None, norm=norm)
-        passes += solution.passes
-        duals = cut_lineage(equalised_duals(solution.duals))
-    state.release()
-    if solution is None:
-        # one class only: the zero vector with a bias has no slack
-        return SvmModel(spark.createDataFrame([], "feature_id long, weight double"), 0.0, 0.0, 0.0, 0.0, 0, "trivial", duals)
-    status = "optimal" if (solution.objective - lower) <= tol * max(1.0, abs(solution.objective)) else "max_iter"
-    return SvmModel(solution.weights, solution.b, solution.objective, lower, solution.sum_xi, passes, status, duals)
-
-
-def mixed_bound(gram: np.ndarray, totals: np.ndarray, norm: str = "norm") -> float:
-    """Best bound from a convex mix of several duals pi_t, given q_t'q_s and sum(pi_t).
-
-    Any mix of feasible duals is feasible; for the conic problem it is shrunk
-    until |sum beta_t q_t| <= 1.
-    """
-    signed = np.ones(len(totals), bool)
-    beta, _ = nonnegative_fit(gram, totals, signed)
-    if norm == "squared":
-        beta = beta / max(1.0, beta.sum())
-        return float(totals @ beta - 0.5 * beta @ gram @ beta)
-    length = np.sqrt(max(beta @ gram @ beta, 0.0))
-    scale = 1.0 / max(beta.sum(), length, 1e-300)
-    return float(scale * (totals @ beta)) if beta.any() else 0.0
-
-
 def certificate(model: SvmModel, matrix: DataFrame, cost: float = 1.0) -> DataFrame:
     """The bound of the model's duals, recomputed from the tables."""
     return dual_bound(matrix, model.duals, cost)

@@ -12,7 +12,8 @@ from widemargin.operators import bounds as D, history as H, metrics as M, screen
 from widemargin.operators.master import MasterSolution, MasterState
 from widemargin.operators.pool import (POOL_SCHEMA, column_signatures, existing_pairs, sample_unit_columns,
                                        unit_columns)
-from widemargin.operators.pricing import WORKING_FEATURES, UnitRows, price_column
+from widemargin.operators.ascent import StoredMatrix
+from widemargin.operators.pricing import NARROW_FEATURES, UnitRows, price_column
 from widemargin.operators.svm import feature_list
 from widemargin.session import cut_lineage
 from widemargin.sources.artifacts import RESUME_TABLES, STATE_TABLES, pool_checkpoint, pool_restore
@@ -108,8 +109,10 @@ class _Loop:
         if saved:
             self.restore(saved)
         # at most this many features: the unit rows are packed once for all pricing calls
-        few = feature_list(matrix, WORKING_FEATURES)
+        few = feature_list(matrix, NARROW_FEATURES)
         self.unit_rows = UnitRows(matrix, labels, few) if few is not None else None
+        # else pricing reads the copy by feature that the master reads too
+        self.stored = StoredMatrix(matrix, labels, self.state.hot, by_feature=self.state.by_feature) if few is None else None
 
     # ------------------------------------------------------------ steps
     def theta_history(self) -> DataFrame:
@@ -182,7 +185,7 @@ class _Loop:
             # the schedule dropped the master's box: pricing still needs one
             box = H.FREE_PRICING_BOX
         column = price_column(self.matrix, self.labels, self.direction(), self.s.cost, box, self.s.cut,
-                              self.s.pricing_tol, unit_rows=self.unit_rows)
+                              self.s.pricing_tol, unit_rows=self.unit_rows, stored=self.stored)
         if column.norm_w <= 1e-9:
             return []
         weights = column.weights
