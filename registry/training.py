@@ -142,6 +142,17 @@ def _(spark, sf_dir):
     return _report(spark, rows)
 
 
+@query("master_unit_rays")
+def _(spark, sf_dir):
+    """All unit rays of the text features, both signs, as one pool."""
+    matrix, labels, features = _texts(spark, sf_dir)
+    both = features.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    s = P.solve_unit_master(matrix, labels, *C.unit_columns(both, "ray"), "conico", COST, tol=2e-2)
+    facts = s.theta.agg(F.count(F.lit(1)).alias("n_columns"), F.count(F.when(F.col("coef") > 0, 1)).alias("n_active"),
+                        F.min("coef").alias("min_coef")).first()
+    return _report(spark, [_solution_row("conico", s) | facts.asDict()])
+
+
 # one column: theta is 1 under the convex type, so only the bias is free and the best bias is a breakpoint
 @query("solve_master_one_column", f"""WITH {VECTOR_CTES},
 c1 AS (SELECT feature_id, weight * {SCALE} AS weight FROM pool_w WHERE col_id = 'p_c1'),
@@ -313,6 +324,33 @@ def _(spark, sf_dir):
     return rounded(s.weights.withColumn("b", F.lit(s.b)), "weight", "b", digits=4)
 
 
+@query("experiment_runner")
+def _(spark, sf_dir):
+    """A grid of masters, one of an unknown type: that run is stored with its error, and a second call runs nothing."""
+    import uuid
+
+    from widemargin.plans import experiments as X
+    from widemargin.session import ensure_checkpoint_dir
+    matrix, labels = _vectors(spark, sf_dir)
+    state = P.MasterState(matrix, labels, COST)
+    state.add(*scaled_pool(spark, sf_dir))
+    grid = X.with_filename(X.experiment_grid(X.axes_frame(spark, tipo=["convexo", "conico", "otro"], tolerance=[2e-2, 5e-3])))
+    calls = []
+
+    def run(row):
+        calls.append(row["filename"])
+        s = state.solve(row["tipo"], tol=row["tolerance"])
+        return {"final_obj": s.objective, "iterations": s.passes, "status": s.status}
+
+    folder = f"{ensure_checkpoint_dir(spark)}/grid/{uuid.uuid4().hex}"
+    X.run_grid(grid, run, folder)
+    first = len(calls)
+    stored = X.run_grid(grid, run, folder)
+    state.release()
+    return rounded(stored.select("filename", "tipo", "tolerance", "final_obj", "status", "error_msg")
+                   .withColumn("run_again", F.lit(len(calls) - first)), "final_obj", digits=3)
+
+
 @query("run_once")
 def _(spark, sf_dir):
     matrix, labels = _vectors(spark, sf_dir)

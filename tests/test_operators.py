@@ -253,3 +253,59 @@ def test_validation_raises(spark):
     _, w = pool_of(spark, [("a", 1, 0.5), ("a", 99, 1.0)])
     with pytest.raises(ValueError):
         B.require_valid(w, spark.createDataFrame([(1,)], "feature_id long"))
+
+
+def test_gram_in_blocks_of_columns(spark, monkeypatch):
+    """More columns than a block holds, and than a driver matrix would, against plain products."""
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((37, 60)) < 0.3, rng.integers(-3, 4, (37, 60)), 0).astype(float)
+    cells = [(f"c{k:02d}", j, float(v)) for k, row in enumerate(dense) for j, v in enumerate(row) if v]
+    w = spark.createDataFrame(cells, "col_id string, feature_id long, weight double")
+    monkeypatch.setattr(C, "_GRAM_BLOCK", 8)
+    monkeypatch.setattr(C, "_GRAM_ROWS", 5)
+    want = {(f"c{a:02d}", f"c{b:02d}"): x for a in range(37) for b in range(a, 37) if (x := float(dense[a] @ dense[b]))}
+    assert {(r["k1"], r["k2"]): r["dot"] for r in C.gram_matrix(w).collect()} == want
+    names = [f"c{k:02d}" for k in range(0, 37, 2)]
+    some = {k: v for k, v in want.items() if k[0] in names and k[1] in names}
+    assert {(r["k1"], r["k2"]): r["dot"] for r in C.gram_matrix(w, names).collect()} == some
+
+
+def test_gram_of_many_unit_columns(spark):
+    w = spark.range(5000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("col_id"), (F.col("id") % 2500).alias("feature_id"),
+                                 (F.col("id") % 7 + 1).cast("double").alias("weight"))
+    got = C.gram_matrix(w)
+    assert got.count() == 7500 and got.where("k1 <> k2").count() == 2500
+
+
+def test_grid_runner(spark, tmp_path):
+    """A second call runs nothing, a failing run leaves an ERROR row, another session's claim is respected."""
+    import threading
+    import time
+
+    grid = X.with_filename(X.experiment_grid(X.axes_frame(spark, tipo=["a", "b", "bad"], tolerance=[0.1, 0.2])))
+    calls, together = [], threading.Barrier(2, timeout=60)
+
+    def run(row):
+        calls.append(row["filename"])
+        if row["tipo"] == "a":
+            together.wait()  # both runs of a are under way at the same time
+        if row["tipo"] == "bad":
+            raise RuntimeError("boom")
+        return {"final_obj": row["tolerance"], "iterations": 3, "status": "optimo"}
+
+    names = sorted(r["filename"] for r in grid.collect())
+    other = [n for n in names if "__b__" in n][0]
+    claims = spark.createDataFrame([(other, "another", time.time() - 10)], X.CLAIM_SCHEMA)
+    claims.write.parquet(f"{tmp_path}/claims/other")
+    first = {r["filename"]: r for r in X.run_grid(grid, run, str(tmp_path)).collect()}
+    assert sorted(calls) == sorted(first) == [n for n in names if n != other]
+    assert {r["status"] for n, r in first.items() if "bad" in n} == {"ERROR"} and "boom" in first[[n for n in first if "bad" in n][0]]["error_msg"]
+    assert {r["final_obj"] for n, r in first.items() if "__a__" in n} == {0.1, 0.2}
+    calls.clear()
+    assert X.run_grid(grid, run, str(tmp_path)).count() == 5 and not calls
+    # the other session's claim has grown old; errors are tried again only when asked
+    X.run_grid(grid, run, str(tmp_path), stale_seconds=1.0)
+    assert calls == [other]
+    calls.clear()
+    assert X.run_grid(grid, lambda r: {"final_obj": 1, "iterations": 1, "status": "optimo"}, str(tmp_path), retry_errors=True).where("status = 'ERROR'").count() == 0
+    assert X.run_summary(*[spark.createDataFrame([], s) for s in ("run_id string, status string, error_msg string", "run_id string, iter int, ub double, lb double")]).count() == 0

@@ -302,3 +302,69 @@ def test_stored_slack_keeps_every_column(spark, sf_dir, monkeypatch):
         spark.createDataFrame([(1, 0.0), (2, 0.0)], "col_id long, b double"), spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0)], "col_id long, feature_id long, weight double")))
     with pytest.raises(ValueError):
         training._pool_slacks(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- unit columns, failures, grids
+def test_unit_rays_as_one_pool(spark, planted):
+    """All unit rays allow every weight; half of them keep signs, which the Newton master on the same pool confirms."""
+    matrix, labels, dense, y = planted
+    features = spark.createDataFrame([(j, s) for j in range(FEATURES) for s in (1, -1)], "feature_id long, sign int")
+    every = P.solve_unit_master(matrix, labels, *C.unit_columns(features, "ray"), "conico", tol=1e-2)
+    free = V.conic_svm(matrix, labels, tol=1e-3)
+    assert every.status == "optimal" and every.lower <= free.objective + 1e-6 and every.objective >= free.lower - 1e-6
+    some = features.where("(feature_id = 2 and sign < 0) or feature_id = 1 or (feature_id in (0, 3) and sign > 0)")
+    pool, pool_w = C.unit_columns(some, "ray")
+    # columns need not have length 1
+    pool_w = pool_w.withColumn("weight", F.col("weight") * (F.col("feature_id") + 1))
+    pool = pool.unionByName(C.zero_column(spark))
+    found = P.solve_unit_master(matrix, labels, pool, pool_w, "conico", tol=1e-2)
+    exact = P.solve_master(matrix, labels, pool, pool_w, "conico", ridge=0.0, m_box=None, tol=1e-3)
+    assert found.status == "optimal" and found.lower <= exact.objective + 1e-6 and found.objective >= exact.lower - 1e-6
+    theta = {r["col_id"]: r["coef"] for r in found.theta.collect()}
+    assert min(theta.values()) >= 0 and theta["p_zero"] == 0 and len(theta) == 6
+    w = np.zeros(FEATURES)
+    for r in pool_w.collect():
+        w[r["feature_id"]] += r["weight"] * theta[r["col_id"]]
+    assert w[2] <= 0 and w[4] == w[5] == 0
+    value = np.linalg.norm(w) + np.maximum(0, 1 - y * (dense @ w + found.b)).sum()
+    assert value == pytest.approx(found.objective, abs=1e-8)
+    with pytest.raises(ValueError):
+        P.solve_unit_master(matrix, labels, pool, pool_w.withColumn("col_id", F.lit("p_zero")), "conico")
+
+
+def test_a_failing_master_keeps_what_the_run_has(tmp_path, planted, pool, monkeypatch):
+    matrix, labels, _, _ = planted
+    solve, calls = P.MasterState.solve, []
+
+    def failing(self, *a, **k):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("no convergence")
+        return solve(self, *a, **k)
+
+    settings = G.Settings(combination="conico", m_box=5.0, master_tol=1e-2, pricing_tol=5e-2, max_iter=4)
+    monkeypatch.setattr(P.MasterState, "solve", failing)
+    run = G.column_generation(matrix, labels, *pool, settings, state_dir=str(tmp_path), run_id="broken")
+    assert run.status == "MASTER_FAILURE" and "no convergence" in run.error and len(run.iterations) == 3
+    assert run.iterations[-1]["status"] == "MASTER_FAILURE" and run.solution.objective == run.iterations[1]["ub"]
+    assert run.run_iterations().count() == 3 and len(run.generated) >= 1
+    monkeypatch.setattr(P.MasterState, "solve", solve)
+    again = G.column_generation(matrix, labels, *pool, settings, run_id="broken", resume_from=last_checkpoint(planted[0].sparkSession, str(tmp_path), "broken"))
+    assert again.error is None and [r["iter"] for r in again.iterations][:3] == [0, 1, 2] and again.iterations[2]["ub"] <= run.iterations[1]["ub"] + 1e-6
+
+
+def test_a_failing_first_master_and_a_failing_pricing(planted, pool, monkeypatch):
+    matrix, labels, _, _ = planted
+    settings = G.Settings(combination="conico", m_box=5.0, master_tol=1e-2, max_iter=1)
+
+    def broken(*a, **k):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(G, "price_column", broken)
+        run = G.column_generation(matrix, labels, *pool, settings)
+    assert run.iterations[0]["step"] == "screening_after_failure" and "lost" in run.error and run.iterations[0]["n_added"] > 0
+    with monkeypatch.context() as m:
+        m.setattr(P.MasterState, "solve", broken)
+        run = G.column_generation(matrix, labels, *pool, settings)
+    assert run.status == "MASTER_FAILURE" and run.solution is None and len(run.iterations) == 1

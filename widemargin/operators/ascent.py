@@ -183,21 +183,33 @@ def _solver(p: dict) -> Callable:
 
 # ---------------------------------------------------------------- the problems
 class Norm:
-    """r = |w|, or |w|**2 / 2 with ``squared``."""
+    """r = |w|, or |w|**2 / 2 with ``squared``.
+
+    ``signs`` (feature_id, g) keeps w_j <= 0 where g > 0 and w_j >= 0 where g < 0.  The weights are then the nearest point
+    of that cone to eta*v, and a dual is feasible where the nearest point to v is no longer than 1.
+    """
 
-    box = cut = None
     multiplier = side = 0.0
 
-    def __init__(self, stored: StoredMatrix, squared: bool = False):
+    def __init__(self, stored: StoredMatrix, squared: bool = False, signs: DataFrame | None = None):
         self.squared, self.eta = squared, 1.0 if squared else 1.0 / np.sqrt(stored.mean_square)
-        self.products = dict.fromkeys(("cc", "cb", "bb", "vv", "vh", "hh"), 0.0)
+        self.signs = signs
+        self.box, self.cut = (None, None) if signs is None else (np.inf, "sign")
+        self.products = dict.fromkeys(("cc", "cb", "bb"), 0.0)
         self.held = 0.0
 
     def features(self, spark) -> DataFrame:
-        return spark.createDataFrame([], "feature_id long, " + ", ".join(f"{n} double" for n in _STATE))
+        if self.signs is None:
+            return spark.createDataFrame([], "feature_id long, " + ", ".join(f"{n} double" for n in _STATE))
+        return self.signs.select("feature_id", F.col("g").cast("double").alias("g"), *[F.lit(0.0).alias(n) for n in _STATE[1:]])
+
+    def inside(self, v: Column) -> Column:
+        if self.signs is None:
+            return v
+        return F.when(F.col("g") > 0, F.least(v, F.lit(0.0))).when(F.col("g") < 0, F.greatest(v, F.lit(0.0))).otherwise(v)
 
     def candidate(self) -> Column:
-        return self.eta * (F.col("vp") - F.col("vn"))
+        return self.eta * self.inside(F.col("vp") - F.col("vn"))
 
     def start(self) -> Column:
         return self.eta * F.col("vx")
@@ -222,17 +234,17 @@ class Norm:
     def measure(self, state: DataFrame, factors: tuple[float, float], total: float, complement: float) -> tuple[float, np.ndarray]:
         """(bound, shares of the held dual and of the new one in the dual that gives it)."""
         repaired = factors[0] * F.col("vp") - factors[1] * F.col("vn")
-        v = F.col("vp") - F.col("vn")
-        pairs = {"cc": v * v, "cb": v * F.col("wb"), "bb": F.col("wb") * F.col("wb"), "vv": repaired * repaired,
-                 "vh": repaired * F.col("hold"), "hh": F.col("hold") * F.col("hold")}
-        p = self.products = {k: x or 0.0 for k, x in state.agg(*[F.sum(c).alias(k) for k, c in pairs.items()]).first().asDict().items()}
+        v, share = self.inside(F.col("vp") - F.col("vn")), np.linspace(0.0, 1.0, 9)
+        mixes = [self.inside(F.lit(float(1 - s)) * F.col("hold") + F.lit(float(s)) * repaired) for s in share]
+        found = state.agg(F.sum(v * v).alias("cc"), F.sum(v * F.col("wb")).alias("cb"), F.sum(F.col("wb") * F.col("wb")).alias("bb"),
+                          *[F.sum(m * m).alias(f"m{k}") for k, m in enumerate(mixes)]).first().asDict()
+        p = self.products = {k: found[k] or 0.0 for k in ("cc", "cb", "bb")}
         if not self.squared:
             # the best weights so far have the length that the duals stand for; slowly down, so that a start from 0 goes on
             self.eta = max(np.sqrt(p["bb"]), 0.3 * self.eta)
         p["cc"], p["cb"] = p["cc"] * self.eta ** 2, p["cb"] * self.eta
-        share = np.linspace(0.0, 1.0, 41)
         sums = (1 - share) * self.held + share * total
-        square = np.maximum((1 - share) ** 2 * p["hh"] + 2 * share * (1 - share) * p["vh"] + share ** 2 * p["vv"], 0.0)
+        square = np.array([found[f"m{k}"] or 0.0 for k in range(len(share))])
         # any dual times a factor up to 1 is feasible
         scale = np.minimum(1.0, sums / np.maximum(square, 1e-300)) if self.squared else 1 / np.maximum(1.0, np.sqrt(square))
         value = scale * sums - (scale ** 2 * square / 2 if self.squared else 0.0)
@@ -394,7 +406,7 @@ def ascend(stored: StoredMatrix, problem, cost: float = 1.0, tol: float = 1e-3,
         if best - lower <= tol * max(1.0, abs(best)):
             status = "optimal"
             break
-        if problem.box is None and isinstance(problem, Pricing) and epoch >= 12 and not np.isfinite(lower):
+        if isinstance(problem, Pricing) and problem.box is None and epoch >= 12 and not np.isfinite(lower):
             status = "unbounded_suspected"
             break
     weights = state.where(F.col("wb") != 0).select("feature_id", F.col("wb").alias("weight"))
@@ -402,15 +414,16 @@ def ascend(stored: StoredMatrix, problem, cost: float = 1.0, tol: float = 1e-3,
     return Ascended(weights, b, best, lower, hinge, epoch + 1, status, duals, blocks)
 
 
-def fit_norm(stored: StoredMatrix, cost: float = 1.0, tol: float = 1e-3, squared: bool = False, **options) -> Ascended:
-    """min |w| + C*sum(xi), or with half the squared norm; the bias is free."""
+def fit_norm(stored: StoredMatrix, cost: float = 1.0, tol: float = 1e-3, squared: bool = False, signs: DataFrame | None = None,
+             **options) -> Ascended:
+    """min |w| + C*sum(xi), or with half the squared norm; the bias is free, ``signs`` as in ``Norm``."""
     if not stored.plus or not stored.minus:
         # one class only: the zero vector with a bias has no slack
         side = 1.0 if stored.plus else -1.0
         none = stored.by_feature.sparkSession.createDataFrame([], "feature_id long, weight double")
         duals = stored.labels.select("row_id", "y", F.lit(1.0).alias("margin"), F.lit(0.0).alias("pi"))
         return Ascended(none, side, 0.0, 0.0, 0.0, 0, "optimal", duals, stored.blocks)
-    return ascend(stored, Norm(stored, squared), cost, tol, **options)
+    return ascend(stored, Norm(stored, squared, signs), cost, tol, **options)
 
 
 def fit_price(stored: StoredMatrix, gradient: DataFrame, cost: float = 1.0, box: float | None = 1e4, cut: str | None = None,

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from widemargin.functions.skew import hot_keys, with_slice
+from widemargin.operators.ascent import StoredMatrix, fit_norm
 from widemargin.operators.bounds import hinge_duals
 from widemargin.operators.newton import (WIDTHS, NewtonResult, Regulariser, combination_bound, combination_set,
                                          minimise)
@@ -234,6 +235,36 @@ def solve_master(matrix: DataFrame, labels: DataFrame, pool: DataFrame, pool_w:
     return state.solve(combination, m_box, **options)
 
 
+def solve_unit_master(matrix: DataFrame, labels: DataFrame, pool: DataFrame, pool_w: DataFrame, combination: str = "conico",
+                      cost: float = 1.0, tol: float = 1e-3, **options) -> MasterSolution:
+    """The master over unit columns, points or rays, any number of them, for "conico" and "libre".
+
+    Columns of one weight each only say which signs a weight may have, so the master is a fit over the features that have
+    columns, with these signs, and dual ascent solves it without a Gram matrix; nothing of the pool is on the driver.
+    The coefficient goes to the first column, by id, of its feature and sign; a column without weights gets 0.
+    """
+    if combination not in ("conico", "libre"):
+        raise ValueError(f"unit columns of any number need conico or libre, not {combination}")
+    pool_w = pool_w.where(F.col("weight").isNotNull() & (F.col("weight") != 0))
+    if pool_w.groupBy("col_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a column has more than one weight")
+    free = F.col("kind") != "ray" if combination == "libre" else F.lit(False)
+    units = cut_lineage(pool_w.join(pool.select("col_id", "kind"), "col_id").withColumn("free", F.coalesce(free, F.lit(combination == "libre"))))
+    first = lambda sign: F.min(F.when(F.col("free") | (F.signum("weight") == sign), F.struct("col_id", "weight")))
+    known = cut_lineage(units.groupBy("feature_id").agg(first(1.0).alias("up"), first(-1.0).alias("down")))
+    # w_j may rise where a column leads up, and fall where one leads down
+    signs = known.select("feature_id", F.when(F.col("down").isNull(), -1.0).when(F.col("up").isNull(), 1.0).otherwise(0.0).alias("g"))
+    stored = StoredMatrix(matrix.join(known.select("feature_id"), "feature_id", "left_semi"), labels)
+    found = fit_norm(stored, cost, tol, signs=signs, **options)
+    weights = cut_lineage(found.weights)
+    chosen = weights.join(known, "feature_id").withColumn("to", F.when(F.col("weight") > 0, F.col("up")).otherwise(F.col("down")))
+    coefs = chosen.select(F.col("to.col_id").alias("col_id"), (F.col("weight") / F.col("to.weight")).alias("coef"))
+    theta = pool.select("col_id", "kind").join(coefs, "col_id", "left").withColumn("coef", F.coalesce("coef", F.lit(0.0)))
+    norm = weights.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).first()[0] or 0.0
+    return MasterSolution(found.status, found.objective, found.lower, found.b, norm, found.sum_xi, found.epochs, theta, weights,
+                          cut_lineage(found.duals))
+
+
 def solve_master_stored_slack(pool: DataFrame, pool_w: DataFrame, pool_xi: DataFrame, cost: float = 1.0,
                               tol: float = 1e-4) -> tuple[DataFrame, float, float]:
     """Convex master with stored slacks: min |W theta| + C*sum_k theta_k*sum(xi^k).

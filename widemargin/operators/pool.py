@@ -28,9 +28,11 @@ POOL_W_SCHEMA = T.StructType([
     T.StructField("weight", T.DoubleType()),
 ])
 
-# Upper limit of a pool whose Gram matrix is held by one process.
+# Upper limit of a pool whose Gram matrix is held by one process, as Newton steps on its coefficients need it.
 MAX_GRAM_COLUMNS = 2_000
-_GRAM_BATCH_BYTES = 64 << 20
+# columns in one block of a Gram matrix, and features multiplied at a time: 2 x 8 MB
+_GRAM_BLOCK = 1_000
+_GRAM_ROWS = 1_000
 
 
 def empty_pool(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -189,44 +191,55 @@ def project_rows(matrix: DataFrame, pool_w: DataFrame, hot: DataFrame | None = N
 
 
 def gram_matrix(pool_w: DataFrame, col_ids: list[str] | None = None) -> DataFrame:
-    """W'W as (k1, k2, dot) with k1 <= k2, zero products left out.
+    """W'W as (k1, k2, dot) with k1 <= k2, zero products left out; any number of columns.
 
-    Each feature brings its weights over the pool (at most the pool size) to one
-    row; tasks multiply blocks of such rows and emit one partial matrix each, so
-    no pair of columns is produced per feature.
+    Columns are numbered and cut into blocks.  Each feature brings its weights of one block to one row; rows of two
+    blocks meet by feature, and a task adds the products of a pair of blocks in one matrix of the block's size, so no
+    pair of columns is produced per feature.
     """
     spark = pool_w.sparkSession
     if col_ids is None:
-        col_ids = [r["col_id"] for r in
-                   pool_w.select("col_id").distinct().limit(MAX_GRAM_COLUMNS + 1).collect()]
-    if len(col_ids) > MAX_GRAM_COLUMNS:
-        raise ValueError(f"a pool of more than {MAX_GRAM_COLUMNS} columns has no driver-sized Gram matrix")
-    names = sorted(col_ids)
-    size = len(names)
-    index = spark.createDataFrame(pd.DataFrame({"col_id": names, "k": np.arange(size, dtype="int32")}),
-                                  "col_id string, k int")
-    per_feature = (pool_w.join(F.broadcast(index), "col_id")
-                   .groupBy("feature_id")
-                   .agg(F.collect_list(F.struct("k", "weight")).alias("cells"))
-                   .select(F.col("cells.k").alias("ks"), F.col("cells.weight").alias("ws")))
-    step = max(1, _GRAM_BATCH_BYTES // (8 * max(1, size)))
+        index = distributed_rank(pool_w.select("col_id").distinct(), ["col_id"], "k")
+    else:
+        # as long as the caller's list
+        index = spark.createDataFrame(list(zip(sorted(set(col_ids)), range(len(col_ids)))), "col_id string, k long")
+    place = (F.col("k") % _GRAM_BLOCK).cast("int")
+    packed = (pool_w.join(index, "col_id")
+              .groupBy("feature_id", F.floor(F.col("k") / _GRAM_BLOCK).cast("int").alias("block"))
+              .agg(F.collect_list(F.struct(place.alias("k"), "weight")).alias("cells"))
+              .select("feature_id", "block", F.col("cells.k").alias("ks"), F.col("cells.weight").alias("ws")))
+    left = packed.withColumnsRenamed({"block": "left", "ks": "lk", "ws": "lw"})
+    right = packed.withColumnsRenamed({"block": "right", "ks": "rk", "ws": "rw"})
+    pairs = left.join(right, "feature_id").where(F.col("left") <= F.col("right"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a pair of blocks may take several tasks, each with its share of the features
+    pairs = (pairs.withColumn("share", F.pmod(F.xxhash64("feature_id"), F.lit(parts)).cast("int")).drop("feature_id")
+             .repartition(parts, "left", "right", "share").sortWithinPartitions("left", "right"))
+
+    def dense(ks, ws):
+        out = np.zeros((len(ks), _GRAM_BLOCK))
+        rows = np.repeat(np.arange(len(ks)), [len(k) for k in ks])
+        np.add.at(out, (rows, np.concatenate(list(ks)).astype(int)), np.concatenate(list(ws)))
+        return out
+
+    def cells(key, total):
+        i, j = np.nonzero(np.triu(total) if key[0] == key[1] else total)
+        return pd.DataFrame({"i": i + np.int64(key[0]) * _GRAM_BLOCK, "j": j + np.int64(key[1]) * _GRAM_BLOCK, "dot": total[i, j]})
 
     def partial(batches):
-        total = np.zeros((size, size))
+        key, total = None, None
         for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start:start + step]
-                block = np.zeros((len(part), size))
-                lengths = [len(k) for k in part["ks"]]
-                rows = np.repeat(np.arange(len(part)), lengths)
-                np.add.at(block, (rows, np.concatenate(part["ks"].to_list()).astype(int)),
-                          np.concatenate(part["ws"].to_list()))
-                total += block.T @ block
-        i, j = np.nonzero(np.triu(total))
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "dot": total[i, j]})
-
-    cells = (per_feature.mapInPandas(partial, "i int, j int, dot double")
-             .groupBy("i", "j").agg(F.sum("dot").alias("dot")))
-    left = index.select(F.col("k").alias("i"), F.col("col_id").alias("k1"))
-    right = index.select(F.col("k").alias("j"), F.col("col_id").alias("k2"))
-    return cells.join(F.broadcast(left), "i").join(F.broadcast(right), "j").select("k1", "k2", "dot")
+            for pair, part in batch.groupby(["left", "right"], sort=True):
+                if pair != key:
+                    if key is not None:
+                        yield cells(key, total)
+                    key, total = pair, np.zeros((_GRAM_BLOCK, _GRAM_BLOCK))
+                for start in range(0, len(part), _GRAM_ROWS):
+                    some = part.iloc[start:start + _GRAM_ROWS]
+                    total += dense(some["lk"], some["lw"]).T @ dense(some["rk"], some["rw"])
+        if key is not None:
+            yield cells(key, total)
+
+    dots = pairs.mapInPandas(partial, "i long, j long, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot")).where("dot != 0")
+    return (dots.join(index.select(F.col("k").alias("i"), F.col("col_id").alias("k1")), "i")
+            .join(index.select(F.col("k").alias("j"), F.col("col_id").alias("k2")), "j").select("k1", "k2", "dot"))

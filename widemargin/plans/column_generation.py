@@ -79,6 +79,7 @@ class Run:
     generated: list[str]
     removed: list[str]
     spark: object = field(repr=False, default=None)
+    error: str | None = None               # what ended the run, with a FAILURE status
 
     def run_iterations(self) -> DataFrame:
         rows = [tuple(r.get(f.name) for f in ITERATION_SCHEMA) for r in self.iterations]
@@ -106,6 +107,7 @@ class _Loop:
         self.iterations, self.history, self.generated, self.removed = [], [], [], []
         self.periods, self.m_box, self.tol = float(settings.idle_periods), settings.m_box, settings.master_tol
         self.first, self.flat, self.added_last, self.lb_best = 0, 0, None, None
+        self.last_good, self.error = None, None
         if saved:
             self.restore(saved)
         # at most this many features: the unit rows are packed once for all pricing calls
@@ -256,8 +258,16 @@ class _Loop:
             if s.prune and self.i > 0 and self.i % s.check_every == 0 and self.i != s.max_iter:
                 n_removed = self.prune()
             before = self.iterations[-1]["ub"] if self.iterations else None
-            found = self.master()
-            lb = self.next_gradient()
+            # a failing solve ends the run with what it has: the last solution, its pool and its bounds
+            try:
+                found = self.master()
+                lb = self.next_gradient()
+            except Exception as problem:
+                status, self.error = "MASTER_FAILURE", f"{type(problem).__name__}: {str(problem)[:500]}"
+                self.solution = self.solution if before is None else self.last_good
+                self.iterations.append({"run_id": self.run_id, "iter": self.i, "n_added": 0, "n_removed": n_removed, "step": "none", "status": status})
+                break
+            self.last_good = found
             self.lb_best = lb if self.lb_best is None else max(self.lb_best, lb)
             kinds = [c["kind"] for c in self.state.columns if c["col_id"] in self.state.active]
             row = {"run_id": self.run_id, "iter": self.i, "ub": float(found.objective), "lb": float(self.lb_best),
@@ -280,8 +290,17 @@ class _Loop:
             use_pricing = (not s.hybrid or (s.pricing_every and self.i > 0 and self.i % s.pricing_every == 0)
                            or self.flat >= s.patience or self.added_last == 0)
             if use_pricing:
-                added = self.price()
                 row["step"] = "pricing"
+                try:
+                    added = self.price()
+                except Exception as problem:
+                    # the reduced costs need no solve: screening takes the place of a pricing that fails
+                    self.error = f"{type(problem).__name__}: {str(problem)[:500]}"
+                    added = self.screen("ray" if s.max_rays else "point")
+                    row["step"] = "screening_after_failure"
+                    if not added:
+                        status = "PRICING_FAILURE"
+                        break
                 if not added and s.stop_on_repeat:
                     status = "repeated_column"
                     break
@@ -302,14 +321,14 @@ class _Loop:
                 self.save(self.i + 1, self.progress())
         else:
             begun = None
-        if self.state_dir and begun is not None:
+        if self.state_dir and begun is not None and self.solution is not None:
             # a run that goes on from here repeats the step at which this one stopped
             self.save(self.i, begun)
         if self.unit_rows is not None:
             self.unit_rows.release()
         pool, pool_w = self.state.frames()
         return Run(self.run_id, s, pool, pool_w, self.solution, status, self.iterations, self.history, self.n_init,
-                   self.generated, self.removed, self.spark)
+                   self.generated, self.removed, self.spark, self.error)
 
     def progress(self) -> dict:
         """What a step hands to the next one, besides tables and the solution."""
