@@ -270,6 +270,36 @@ def _(spark, sf_dir):
     return X.finished_summaries(grid, _finished(spark, sf_dir), KEYS, ["final_obj", "status"])
 
 
+# the same over all lines: a run counts as stored when its lines are large on average
+STORED = """done AS (SELECT o_orderstatus AS tipo, o_orderpriority AS pricing, l_discount AS tolerance, l_tax AS "M_box",
+  round(min(o_totalprice), 4) AS final_obj, CASE WHEN min(o_totalprice) > 1500 THEN 'optimo' END AS status
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4 HAVING avg(l_quantity) >= 25.5)"""
+
+
+def _stored(spark, sf_dir):
+    price = F.min("o_totalprice")
+    return (table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+            .groupBy(F.col("o_orderstatus").alias("tipo"), F.col("o_orderpriority").alias("pricing"),
+                     F.col("l_discount").alias("tolerance"), F.col("l_tax").alias("M_box"))
+            .agg(F.round(price, 4).alias("final_obj"), F.when(price > 1500, F.lit("optimo")).alias("status"), F.avg("l_quantity").alias("_mean"))
+            .where("_mean >= 25.5").drop("_mean"))
+
+
+@query("unfinished_runs", f"""WITH {GRID}, {STORED} SELECT tipo, pricing, tolerance, "M_box" FROM grid g
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.tipo = g.tipo AND d.pricing = g.pricing AND d.tolerance = g.tolerance AND d."M_box" = g."M_box")""")
+def _(spark, sf_dir):
+    return X.skip_finished_runs(X.experiment_grid(_axes(spark, sf_dir)), _stored(spark, sf_dir), KEYS)
+
+
+@query("stored_summaries", f"""WITH {GRID}, {STORED}
+SELECT g.tipo, g.pricing, g.tolerance, g."M_box", final_obj,
+       coalesce(status, CASE WHEN d.tipo IS NOT NULL THEN 'LOADED' ELSE 'PENDING' END) AS status
+FROM grid g LEFT JOIN done d ON d.tipo = g.tipo AND d.pricing = g.pricing AND d.tolerance = g.tolerance AND d."M_box" = g."M_box" """)
+def _(spark, sf_dir):
+    grid = X.experiment_grid(_axes(spark, sf_dir))
+    return X.finished_summaries(grid, _stored(spark, sf_dir), KEYS, ["final_obj", "status"])
+
+
 RUNS = f"""{ITERATIONS_CTE}, {STOP},
 runs AS (SELECT o_orderkey // 16 AS run_id,
   max(CASE WHEN o_orderkey % 1000 = 0 THEN 'ERROR' ELSE 'optimo' END) FILTER (o_orderkey % 16 = 0) AS status,

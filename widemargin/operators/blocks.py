@@ -27,14 +27,14 @@ MAX_TASK_CELLS = 8_000_000
 MAX_TASK_FEATURES = 1_500
 
 FIT_SCHEMA = ("model_id string, feature_id long, weight double, b double, xi_sum double, objective double, "
-              "lower double, n_features int, status string, error_msg string")
+              "lower double, n_features int, status string, solver string, error_msg string")
 
 
 @dataclass
 class BlockFits:
     pool: DataFrame      # one column per solved model
     pool_w: DataFrame
-    log: DataFrame       # model_id, status, n_features, bias, xi_sum, objective, lower, error_msg
+    log: DataFrame       # model_id, status, solver, n_features, bias, xi_sum, objective, lower, gap, error_msg
 
 
 def local_fit(cells: pd.DataFrame, counts: tuple[int, int], norm: str, cost: float, tol: float) -> pd.DataFrame:
@@ -79,11 +79,11 @@ def local_fit(cells: pd.DataFrame, counts: tuple[int, int], norm: str, cost: flo
             features, w, keep = np.array([-1], dtype="int64"), np.zeros(1), np.ones(1, bool)
         out = pd.DataFrame({"model_id": model, "feature_id": features[keep], "weight": w[keep]})
         return out.assign(b=found.point[-1], xi_sum=found.hinge, objective=found.objective, lower=found.lower,
-                          n_features=size, status="success", error_msg=None)
+                          n_features=size, status="success", solver=found.status, error_msg=None)
     except Exception as error:  # a failing model becomes a row of the log
         return pd.DataFrame({"model_id": [model], "feature_id": [-1], "weight": [0.0], "b": [None], "xi_sum": [None],
                              "objective": [None], "lower": [None], "n_features": [0], "status": ["error"],
-                             "error_msg": [str(error)[:500]]})
+                             "solver": [None], "error_msg": [str(error)[:500]]})
 
 
 def fit_blocks(matrix: DataFrame, labels: DataFrame, groups: DataFrame, bags: DataFrame | None = None,
@@ -134,8 +134,10 @@ def fit_blocks(matrix: DataFrame, labels: DataFrame, groups: DataFrame, bags: Da
         F.lit(origin).alias("origin"), F.lit(0).alias("born_iter"), "b")
     pool_w = fits.where((F.col("status") == "success") & (F.col("weight") != 0)).select(
         F.concat(F.lit("p_"), F.col("model_id")).alias("col_id"), "feature_id", "weight")
-    log = heads.select("model_id", "status", "n_features", F.col("b").alias("bias"), "xi_sum", "objective", "lower",
-                       "error_msg")
+    # success: there is a model; solver and gap tell how far it was solved
+    gap = (F.col("objective") - F.col("lower")) / F.greatest(F.lit(1.0), F.abs("objective"))
+    log = heads.select("model_id", "status", "solver", "n_features", F.col("b").alias("bias"), "xi_sum", "objective", "lower",
+                       gap.alias("gap"), "error_msg")
     return BlockFits(pool, pool_w, log)
 
 
@@ -154,15 +156,15 @@ def _fit_large(matrix, labels, groups, bags, row, cost, norm, tol) -> DataFrame:
         weights = model.weights.where(F.col("weight") != 0)
         head = spark.createDataFrame([(-1, 0.0)], "feature_id long, weight double")
         out = weights.unionByName(head)
-        status, error = "success", None
+        status, solver, error = "success", model.status, None
     except Exception as problem:
         out = spark.createDataFrame([(-1, 0.0)], "feature_id long, weight double")
-        facts, status, error = (None, None, None, None, int(row["n_features"])), "error", str(problem)[:500]
+        facts, status, solver, error = (None, None, None, None, int(row["n_features"])), "error", None, str(problem)[:500]
     names = ("b", "xi_sum", "objective", "lower", "n_features")
     kinds = ("double", "double", "double", "double", "int")
     return out.select(F.lit(name).alias("model_id"), "feature_id", "weight",
                       *[F.lit(v).cast(k).alias(n) for n, v, k in zip(names, facts, kinds)],
-                      F.lit(status).alias("status"), F.lit(error).cast("string").alias("error_msg"))
+                      F.lit(status).alias("status"), F.lit(solver).cast("string").alias("solver"), F.lit(error).cast("string").alias("error_msg"))
 
 
 def block_svms_contiguous(matrix, labels, features, parts: int, **options) -> BlockFits:
