@@ -368,3 +368,38 @@ def test_a_failing_first_master_and_a_failing_pricing(planted, pool, monkeypatch
         m.setattr(P.MasterState, "solve", broken)
         run = G.column_generation(matrix, labels, *pool, settings)
     assert run.status == "MASTER_FAILURE" and run.solution is None and len(run.iterations) == 1
+
+
+@pytest.mark.parametrize("kind", D.COMBINATIONS)
+def test_box_with_a_bound(planted, pool, kind):
+    """A box that binds: the point keeps it, the bound meets the objective, and both agree with pricing where they must."""
+    matrix, labels, dense, y = planted
+    state = P.MasterState(matrix, labels)
+    state.add(*pool)
+    free = state.solve(kind, tol=1e-3)
+    peak = free.weights.agg(F.max(F.abs("weight"))).first()[0] or 0.0
+    m_box = 0.6 * peak
+    found = state.solve(kind, m_box=m_box, tol=5e-3)
+    w = np.zeros(FEATURES)
+    for r in found.weights.collect():
+        w[r["feature_id"]] = r["weight"]
+    assert np.abs(w).max() <= m_box * (1 + 1e-9)
+    assert found.status == "box_active" and found.gap <= 5e-3
+    assert found.objective >= free.lower - 1e-6
+    assert found.objective == pytest.approx(np.linalg.norm(w) + np.maximum(0, 1 - y * (dense @ w + found.b)).sum(), abs=1e-6)
+    theta = {r["col_id"]: r["coef"] for r in found.theta.collect()}
+    points = np.array([theta[c] for c in ("p_a", "p_b", "p_c", "p_zero")])
+    if kind in ("convexo", "afin"):
+        assert abs(points.sum() - 1) < 1e-6
+    if kind == "libre":
+        # random allowed points are never better than the bound
+        rng = np.random.default_rng(0)
+        for _ in range(300):
+            t = rng.normal(size=4) * 0.5
+            t[3] = abs(t[3])
+            v = np.zeros(FEATURES)
+            v[2], v[4], v[0], v[1] = t[0] + t[3], -t[1], 0.2 * t[1], t[2]
+            v *= min(1.0, m_box / max(np.abs(v).max(), 1e-12))
+            b = min((np.maximum(0, 1 - y * (dense @ v + c)).sum() for c in np.linspace(-1, 1, 21)))
+            assert np.linalg.norm(v) + b >= found.lower - 1e-9
+    state.release()

@@ -23,8 +23,10 @@ from widemargin.session import bucketed, cut_lineage
 
 # fixed value: weight of the ridge term, which the reported objective leaves out
 RIDGE = 1e-6
-# rows of the box |w_j| <= M added per round, and rounds
-_BOX_ROWS = 50
+# rows of the box |w_j| <= M added per round, rounds, and the first penalty
+_BOX_ROWS = 200
+_BOX_ROUNDS = 40
+_BOX_PENALTY = 100.0
 
 
 @dataclass
@@ -173,43 +175,96 @@ class MasterState:
                 .groupBy("feature_id").agg(F.sum(F.col("weight") * F.col("coef")).alias("weight")))
 
     def _inside_box(self, found, evaluate, regulariser, project, bound, cols, m_box, combination, tol, max_passes):
-        """Row generation for |w_j| <= M: only features that leave the box become rows of a penalty.
+        """The box |w_j| <= M as rows with multipliers.
 
-        Rounds go on, each with twice the rows, until no further feature is outside.
+        Features that leave the box become rows, at most a batch per round.  Each round solves with the rows' penalty and
+        takes the multipliers on; they count as duals in the bound.  The point of a round is drawn to a point inside the
+        box, towards 0 or the column that lies deepest inside, so every round has an allowed point; rounds end when the
+        best of these meets the bound, with the status "box_active".
         """
-        rows, inside, batch = None, [], _BOX_ROWS
-        while True:
-            outside = self._weights(cols, found.point[:-1]).where(F.abs("weight") > m_box * (1 + 1e-9))
-            if inside:
-                outside = outside.join(F.broadcast(self.spark.createDataFrame(inside, "feature_id long")), "feature_id", "left_anti")
-            worst = outside.orderBy(F.abs("weight").desc(), "feature_id").limit(batch).collect()
-            if not worst:
+        peak = self._peak(cols, found.point)
+        if peak <= m_box * (1 + 1e-9):
+            return found
+        inner, depth = self._deepest(cols, m_box, combination)
+        held: dict[tuple[int, int], int] = {}
+        lower, passes, best, least = found.lower, found.passes, None, np.inf
+        regulariser.limits, regulariser.limit = np.zeros((0, len(cols))), m_box
+        regulariser.multipliers, regulariser.penalty = np.zeros(0), _BOX_PENALTY
+        for turn in range(_BOX_ROUNDS):
+            # the nearest point on the way to the inner one that is allowed
+            share = min(1.0, (m_box - depth) / (peak - depth)) if peak > m_box else 1.0
+            if share > 0:
+                point = found.point.copy()
+                point[:-1] = share * point[:-1] + (1 - share) * inner
+                sums = evaluate(point[None, :], found.width)
+                passes += 1
+                value = self._objective(regulariser, point, float(sums["hinge"][0]))
+                if best is None or value < best[0]:
+                    best = value, point, float(sums["hinge"][0])
+            if best is not None and best[0] - lower <= tol * max(1.0, abs(best[0])):
                 break
-            inside, batch = inside + [(r["feature_id"],) for r in worst], 2 * batch
-            keep = self.spark.createDataFrame([(r["feature_id"],) for r in worst], "feature_id long")
-            cells = self.pool_w.join(F.broadcast(keep), "feature_id").toPandas()
-            place = {c["col_id"]: k for k, c in enumerate(cols)}
-            feature = {r["feature_id"]: i for i, r in enumerate(worst)}
-            added = np.zeros((len(worst), len(cols)))
-            cells = cells[cells["col_id"].isin(place)]
-            added[cells["feature_id"].map(feature), cells["col_id"].map(place)] = cells["weight"]
-            rows = added if rows is None else np.vstack([rows, added])
-            regulariser.limits, regulariser.limit = rows, m_box
-            passes = found.passes
-            found = minimise(evaluate, regulariser, project, found.point, self.cost, bound, tol, max_passes)
-            found.passes += passes
-        if rows is None:
+            self._add_box_rows(regulariser, held, cols, found.point, m_box)
+            over = regulariser.limits @ found.point[:-1] - m_box
+            worst = np.maximum(over, 0.0).max(initial=0.0)
+            regulariser.multipliers = np.maximum(regulariser.multipliers + regulariser.penalty * over, 0.0)
+            if worst > 0.25 * least:
+                regulariser.penalty *= 4
+            least = min(least, worst)
+            widths = [w for w in WIDTHS if w <= 4 * found.width] or list(WIDTHS[-1:])
+            found = minimise(evaluate, regulariser, project, found.point, self.cost,
+                             regulariser.bounded_by_rows(bound) if bound else None, 0.3 * tol, max_passes, widths)
+            passes, lower = passes + found.passes, max(lower, found.lower)
+            peak = self._peak(cols, found.point)
+        found.passes, found.lower = passes, lower
+        if best is None:
+            found.status = "box_exceeded"
             return found
-        peak = max(m_box, self._weights(cols, found.point[:-1]).agg(F.max(F.abs("weight"))).first()[0] or 0.0)
-        if peak > m_box and combination in ("conico", "libre"):
-            # shrinking a point of a cone keeps it in the cone
-            found.point = found.point * np.append(np.full(len(cols), m_box / peak), 1.0)
-            sums = evaluate(found.point[None, :], found.width)
-            found.hinge = float(sums["hinge"][0])
-            found.objective = float(regulariser.value(found.point[None, :], with_ridge=False)[0] + self.cost * found.hinge)
-        found.status = "box_active" if peak <= m_box * (1 + 1e-6) or combination in ("conico", "libre") else "box_exceeded"
+        found.objective, found.point, found.hinge = best
+        found.status = "box_active" if found.gap <= tol else "box_inaccurate"
         return found
 
+    def _objective(self, regulariser, point, hinge) -> float:
+        plain = Regulariser(regulariser.gram, regulariser.kind, regulariser.linear)
+        return float(plain.value(point[None, :])[0] + self.cost * hinge)
+
+    def _peak(self, cols, point) -> float:
+        return self._weights(cols, point[:-1]).agg(F.max(F.abs("weight"))).first()[0] or 0.0
+
+    def _deepest(self, cols, m_box, combination) -> tuple[np.ndarray, float]:
+        """(coefficients, largest |w_j|) of an allowed point well inside the box."""
+        inner = np.zeros(len(cols))
+        if combination in ("conico", "libre"):
+            return inner, 0.0
+        peaks = {r["col_id"]: r["p"] for r in self.pool_w.groupBy("col_id").agg(F.max(F.abs("weight")).alias("p")).collect()}
+        points = [(peaks.get(c["col_id"], 0.0), k) for k, c in enumerate(cols) if c["kind"] != "ray"]
+        depth, k = min(points, default=(np.inf, 0))
+        inner[k] = 1.0
+        return inner, depth
+
+    def _add_box_rows(self, regulariser, held, cols, point, m_box):
+        """Rows of the features that leave the box most, by the side where they leave it."""
+        outside = self._weights(cols, point[:-1]).where(F.abs("weight") > m_box).orderBy(F.abs("weight").desc(), "feature_id")
+        known = list(held)
+        if known:
+            old = self.spark.createDataFrame(known, "feature_id long, side int")
+            # as many as there are rows
+            outside = (outside.withColumn("side", F.signum("weight").cast("int"))
+                       .join(F.broadcast(old), ["feature_id", "side"], "left_anti").orderBy(F.abs("weight").desc(), "feature_id"))
+        worst = [(r["feature_id"], 1 if r["weight"] > 0 else -1) for r in outside.limit(_BOX_ROWS).collect()]
+        if not worst:
+            return
+        keep = self.spark.createDataFrame([(j,) for j, _ in worst], "feature_id long")
+        cells = self.pool_w.join(F.broadcast(keep), "feature_id").toPandas()
+        place = {c["col_id"]: k for k, c in enumerate(cols)}
+        row = {j: i for i, (j, _) in enumerate(worst)}
+        added = np.zeros((len(worst), len(cols)))
+        cells = cells[cells["col_id"].isin(place)]
+        added[cells["feature_id"].map(row), cells["col_id"].map(place)] = cells["weight"]
+        added *= np.array([[side] for _, side in worst])
+        held.update({pair: len(held) + i for i, pair in enumerate(worst)})
+        regulariser.limits = np.vstack([regulariser.limits, added])
+        regulariser.multipliers = np.append(regulariser.multipliers, np.zeros(len(worst)))
+
     def _solution(self, found: NewtonResult, cols, chosen, gram) -> MasterSolution:
         x, b = found.point[:-1], float(found.point[-1])
         theta = self.spark.createDataFrame([(c["col_id"], c["kind"], float(v)) for c, v in zip(cols, x)],

@@ -93,10 +93,22 @@ class Regulariser:
     kind: str = "norm"
     linear: np.ndarray | None = None
     ridge: float = 0.0
-    limits: np.ndarray | None = None   # rows a_j of a penalty on |a_j.x| > limit
+    limits: np.ndarray | None = None   # rows a_j of a_j.x <= limit, kept by multipliers and a penalty
     limit: float = np.inf
+    multipliers: np.ndarray | None = None
     penalty: float = 1e3
 
+    def excess(self, x: np.ndarray) -> np.ndarray:
+        """Per point and row: how far the row is over its limit, the share of its multiplier included."""
+        return np.maximum(x @ self.limits.T - self.limit + self.multipliers / self.penalty, 0.0)
+
+    def bounded_by_rows(self, bound: Callable) -> Callable:
+        """``bound`` of the problem with the rows: their multipliers at the point are duals like those of the data."""
+        def with_rows(q, total, point):
+            dual = self.penalty * self.excess(point[:-1])
+            return bound(q - self.limits.T @ dual, total - self.limit * dual.sum(), point)
+        return with_rows
+
     def value(self, points, delta=0.0, with_ridge=True):
         x = points[:, :-1]
         quad = np.maximum(np.einsum("ij,jk,ik->i", x, self.gram, x), 0.0)
@@ -105,8 +117,8 @@ class Regulariser:
         if self.linear is not None:
             out = out + x @ self.linear
         if self.limits is not None:
-            over = np.maximum(np.abs(x @ self.limits.T) - self.limit, 0.0)
-            out = out + 0.5 * self.penalty * (over * over).sum(axis=1)
+            over = self.excess(x)
+            out = out + 0.5 * (self.penalty * (over * over).sum(axis=1) - (self.multipliers ** 2).sum() / self.penalty)
         return out + self.ridge * (x * x).sum(axis=1) if with_ridge else out
 
     def slope_bend(self, point, delta):
@@ -123,8 +135,7 @@ class Regulariser:
         if self.linear is not None:
             slope[:-1] += self.linear
         if self.limits is not None:
-            reach = self.limits @ x
-            over = np.maximum(np.abs(reach) - self.limit, 0.0) * np.sign(reach)
+            over = self.excess(x)
             slope[:-1] += self.penalty * self.limits.T @ over
             hit = self.limits[over != 0]
             bend[:-1, :-1] += self.penalty * hit.T @ hit
