@@ -321,6 +321,14 @@ def test_language(spark, docs, none, sf_dir):
     assert language.identify(none, language.fit(none)).count() == 0
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    """Digits and number signs of any script are no letters."""
+    rows = [(8 * k + j, w * 5, lang) for k, (w, lang) in enumerate([("hello there ", "en"), ("guten tag ", "de")]) for j in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, _ = language.fit(table).predict(["½ ² ①", "ⅷ 123", "_", "١٢", "hello", "ª"])
+    assert names[:4] == ["und"] * 4 and names[4] == "en" and names[5] != "und"
+
+
 def test_language_many(spark):
     """Every lang value is learned, however many there are."""
     rng = random.Random(14)
@@ -362,3 +370,9 @@ def test_licence_texts(spark):
     assert {r["doc_id"]: (r["licence"], r["licence_file"], r["licence_source"]) for r in found} == {
         1: ("MIT", True, "own"), 2: ("MIT", False, "m"), 3: ("Apache-2.0", True, "own"), 4: ("Apache-2.0", False, "a"),
         5: ("GPL-3.0", True, "own"), 6: ("GPL-3.0", False, "g"), 7: ("MIT", False, "own"), 8: (None, False, None)}
+
+
+def test_opaque_secrets_of_any_length():
+    """The first digit may come late, a run without one is no candidate."""
+    late = "q" * 300 + "7" + "r" * 10
+    assert [(c[0], c[2]) for c in secrets.candidates(f"x {late} y {"p" * 500} z") if secrets.KINDS[c[1]] == "opaque"] == [(2, 2 + len(late))]

@@ -18,8 +18,6 @@ labelled text all do.  Ties go to the language that sorts first.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -27,7 +25,6 @@ from widemargin.llm.common import fold, small_batches
 
 DIMENSIONS = 4096
 _PASSAGE = 2000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def passages(text: str, size: int = _PASSAGE) -> list[str]:
@@ -68,7 +65,7 @@ class Model:
         return rows / np.array([[max(len(t), 1)] for t in texts])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        known = [k for k, t in enumerate(texts) if t and any(c.isalpha() for c in t)] if self.languages else []
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         if known:
             found = self.outputs([texts[k] for k in known])

@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "opaque")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,120}?[0-9])[A-Za-z0-9+/_=-]{20,}")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _KEYWORDS = ("passw", "secret", "token", "api")
 _SCHEMA = "doc_id long, key long, owner string, repo string, found array<struct<start:int,kind:int,end:int,value:string,entropy:double>>"
 
@@ -73,7 +73,7 @@ def _scan(batches):
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(digest, n_docs, n_repos, n_owners) of every candidate value."""
+    """(digest, n_found, n_repos, n_owners) of every candidate value: how often it is found, in how many repositories, of how many owners."""
     each = found.select("owner", "repo", F.explode("found").alias("c")).select(
         "owner", "repo", F.sha2("c.value", 256).alias("digest"))
     by_repo = each.groupBy("digest", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
