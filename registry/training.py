@@ -278,7 +278,8 @@ def _start(spark, sf_dir):
     return (*_vectors(spark, sf_dir), pool, pool_w)
 
 
-LOOP = dict(cost=COST, m_box=10.0, master_tol=5e-3, pricing_tol=2e-2, max_iter=3)
+# loops end by a stopping rule: a step that changes the objective, some 380, by less than tol
+LOOP = dict(cost=COST, m_box=10.0, master_tol=5e-3, pricing_tol=2e-2, tol=0.5, max_iter=30)
 
 
 def _iterations(run):
@@ -302,7 +303,7 @@ def _(spark, sf_dir):
 
 @query("column_generation_basic")
 def _(spark, sf_dir):
-    return _iterations(G.column_generation_basic(*_start(spark, sf_dir), G.Settings(**{**LOOP, "max_iter": 2}, gradient="alpha_only")))
+    return _iterations(G.column_generation_basic(*_start(spark, sf_dir), G.Settings(**LOOP, gradient="alpha_only")))
 
 
 @query("column_generation_texts")
@@ -366,5 +367,5 @@ def _(spark, sf_dir):
     for part in ("train", "test"):
         rows = parts.where(F.col("part") == part).select("row_id", "y")
         sides.append((matrix.join(rows.select("row_id"), "row_id", "left_semi"), rows))
-    return G.run_once(*sides, G.Settings(**{**LOOP, "combination": "conico", "max_iter": 2}),
+    return G.run_once(*sides, G.Settings(**{**LOOP, "combination": "conico"}),
                       pool=scaled_pool(spark, sf_dir))
