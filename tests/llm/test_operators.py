@@ -264,6 +264,37 @@ def test_decontamination_copied_edit(spark):
     assert sorted(r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()) == [50, 51]
 
 
+@pytest.mark.parametrize("vocabulary", [40, 10**6])
+def test_decontamination_all_pairs(spark, vocabulary):
+    """Every document against every item, with words changed, put in and left out: the same pairs, scores and ties."""
+    rng = random.Random(21)
+    items = [(k, cases.words(rng, n, vocabulary)) for k, n in enumerate([4, 5, 7, 12, 25, 40, 60, 60])] + [(99, "a b c")]
+    edits = {"changed": lambda w, k: f"x{k}", "put": lambda w, k: f"{w} x{k}", "left": lambda w, k: ""}
+    rows = [(0, None), (1, ""), (2, cases.words(rng, 400, vocabulary))]
+    for _, text in items:
+        for edit in edits.values():
+            for every in (1, 2, 3, 4, 5):
+                inside = " ".join(edit(w, k) if k % every == every - 1 else w for k, w in enumerate(text.split()))
+                rows.append((len(rows), f"{cases.words(rng, 30, vocabulary)} {inside} {cases.words(rng, 30, vocabulary)}"))
+        rows.append((len(rows), f"{text} {cases.words(rng, 20, vocabulary)} {text}"))
+    rows += [rows[20], rows[20]]
+    split = lambda t: decontamination._words([(t or "").encode()])[0]
+    want = Counter()
+    for i, text in rows:
+        for k, item in items:
+            own, doc = split(item), split(text)
+            score = decontamination.align([own], [doc])[0][0] if len(doc) else 0
+            if 2 * len(own) * score >= max(len(own), 8) - 1e-6:
+                want[i, k, round(score, 6)] += 1
+    assert len(want) > 60
+    docs, bench = cases.documents(spark, rows).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for chars in (decontamination.BLOCK_CHARS, 300):  # one block of items, and several
+        found = decontamination.contaminated(docs, bench, chars=chars).collect()
+        assert Counter((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in found) == want
+    clean = Counter(i for i, _ in rows) - Counter(dict.fromkeys({i for i, _, _ in want}, 9))
+    assert Counter(r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()) == clean
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     pairs = [(rng.integers(0, 4, 9), rng.integers(0, 4, rng.integers(3, 30))) for _ in range(60)]
