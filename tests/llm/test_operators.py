@@ -133,6 +133,7 @@ def test_mixing(docs, rows, none):
     sizes, targets, taken = Counter(), {}, Counter()
     for r in got:
         assert r["size"] == len(WORD.findall(r["text"] or "")) and 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        assert 0 <= r["copies"] <= 3
         s = source[r["doc_id"], r["text"]]
         assert s == r["source"]
         sizes[s] += r["size"]
@@ -177,6 +178,33 @@ def base_pii(text):
     return sorted(found)
 
 
+def test_mixing_empty_texts_of_a_capped_source(spark):
+    """A source whose target is three times its size is taken three times, its empty texts too."""
+    rows = [(k, "a b c d " * 40, "a") for k in range(20)] + [(100 + k, "" if k % 2 else "one two", "b") for k in range(40)] + [(300, None, "b")]
+    table = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    got = mixing.mix(table, weights=(1, 5)).where("source = 'b'").collect()
+    assert len(got) == 41 and {r["copies"] for r in got} == {3} and {r["target"] for r in got} == {120.0}
+
+
+def test_dealing_sends_no_empty_rows():
+    """However many fragments there are, a unit sends no more rows than entries, and each entry to its fragment once."""
+    import pyarrow as pa
+    texts = [" ".join(f"w{(7 * k + j) % 90}" for j in range(12)) for k in range(6)] + ["one two"]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    entries = sum(len(shingles(t)) for t in texts)
+    for fragments in (1, 7, 10**6):
+        sent = pa.Table.from_batches(list(ngram_jaccard._deal(5, fragments)([batch]))).to_pylist()
+        assert len(sent) <= min(fragments, entries) and len({r["fragment"] for r in sent}) == len(sent)
+        assert all(r["vals"] or r["several"] or r["known"] for r in sent)
+        distinct = len(set().union(*map(shingles, texts)))
+        assert sum(len(r["vals"]) + len(r["several"]) for r in sent) == 4 * distinct
+        owner, place = np.arange(40) // 10, np.arange(40) % 10
+        vals = np.arange(40, dtype=np.uint64) % np.uint64(31)
+        rows = substring_dedup._send(owner, place, vals, np.arange(4), fragments).to_pylist()
+        assert len(rows) <= min(fragments, 40) + 1
+        assert sum(len(r["vals"]) // 8 for r in rows) == 22 and sum(len(r["several"]) // 8 for r in rows) == 9
+
+
 def test_pii(spark, none):
     rng = random.Random(2)
     tell = [f"{cases.words(rng, 8)} Zanzibarian mail zed@corp.org {cases.words(rng, 8)}" for k in range(12)]

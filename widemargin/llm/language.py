@@ -7,13 +7,15 @@ K(text, Z) K(Z, Z)^(-1/2).  One-versus-rest ridge regression on that is kernel
 ridge regression; a text is scored by one matrix product per batch.  Long texts
 are cut into passages and their scores averaged by length, so whole texts count.
 
-The labelled sample is bounded: of every language ``per_language``
-texts, the first by hash of the id, ``pieces`` passages of each; ``landmarks``
-of those passages are landmarks.  n-grams are hashed to ``DIMENSIONS`` presence
-bits.
+The labelled sample is bounded: of every language ``per_language`` texts, the first by
+hash of the id, with all their passages.  About ``landmarks`` of those passages, the first
+of each language by hash, are landmarks and on the driver; the tasks sum the normal
+equations of the others, so that no task or driver holds the sample.  n-grams are hashed
+to ``DIMENSIONS`` presence bits.
 
 Null texts and texts without a letter get ``und`` with score 0; without any
-labelled text all do.  Ties go to the language that sorts first.
+labelled text all do, and empty tables give no rows.  Ties go to the language that sorts
+first, repeated rows are answered each, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from widemargin.llm.common import fold, small_batches
+from widemargin.llm.common import fold, small_batches, staged
 
 DIMENSIONS = 4096
 _PASSAGE = 2000
+#: Tasks of the fit, each with one partial sum.
+_TASKS = 32
 
 
 def passages(text: str, size: int = _PASSAGE) -> list[str]:
@@ -74,29 +78,77 @@ class Model:
         return names, scores
 
 
-def fit_passages(texts: list[str], labels: list[str], landmarks: int = 192, ridge: float = 1e-2) -> Model:
-    """Kernel ridge regression on the passages, of which evenly spread ones of each language are landmarks."""
-    names = sorted(set(labels))
+def _lettered(text: str) -> list[str]:
+    return [p for p in passages(text) if any(c.isalpha() for c in p)]
+
+
+def _candidates(each: int):
+    """The first ``each`` passages of every language in a task, by hash."""
+    def run(batches):
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+        best: dict[str, list] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                own = {(xxh64_intdigest(p.encode()) >> 1, p) for p in _lettered(text)}
+                best[lang] = sorted(own | set(best.get(lang, [])))[:each]
+        rows = [(lang, h, p) for lang, own in best.items() for h, p in own]
+        columns = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.string()])],
+                                         ["lang", "h", "passage"])
+    return run
+
+
+def _equations(names: list[str], marks: np.ndarray, root: np.ndarray, shares: np.ndarray):
+    """Sums of the normal equations over a task's passages, each weighed by its language's share."""
+    def run(batches):
+        import pyarrow as pa
+        size, number = root.shape[1], {x: k for k, x in enumerate(names)}
+        left, right = np.zeros((size, size)), np.zeros((size, len(names)))
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                own, k = _lettered(text), number[lang]
+                for low in range(0, len(own), 512):
+                    found = (presence(own[low:low + 512]) @ marks.T).astype(float) @ root
+                    left += shares[k] * (found.T @ found)
+                    right[:, k] += shares[k] * found.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()])], ["l", "r"])
+    return run
+
+
+def _counts(batches):
+    import pyarrow as pa
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([len(_lettered(t)) for t in batch.column("text").to_pylist()])],
+                                         ["lang", "n"])
+
+
+def fit_sample(sample: DataFrame, landmarks: int = 192, ridge: float = 1e-2) -> Model:
+    """Kernel ridge regression on the passages of ``sample`` (lang, text)."""
+    counts = sample.mapInArrow(_counts, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    names = sorted(r["lang"] for r in counts)
     if not names:
         return Model([])
-    rows, y = presence(texts), np.array([names.index(x) for x in labels])
+    times = np.array([dict(map(tuple, counts))[x] for x in names], float)
     each = max(1, landmarks // len(names))
-    chosen = np.concatenate([(own := np.flatnonzero(y == k))[np.linspace(0, len(own) - 1, min(each, len(own))).astype(int)]
-                             for k in range(len(names))])
-    marks = rows[np.unique(chosen)]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "passage"))
+    # at most ``each`` rows of a language leave a task
+    chosen = (sample.mapInArrow(_candidates(each), "lang string, h long, passage string").distinct()
+              .withColumn("rank", rank).where(F.col("rank") <= each).orderBy("lang", "rank").collect())
+    marks = np.unique(presence([r["passage"] for r in chosen]), axis=0)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (rows @ marks.T).astype(float) @ root
-    targets = np.eye(len(names))[y]
     # languages count alike, however many passages they have
-    weight = (1 / np.bincount(y, minlength=len(names)))[y][:, None] * len(y) / len(names)
-    solved = np.linalg.solve(features.T @ (features * weight) + ridge * len(y) * np.eye(features.shape[1]) / 10,
-                             features.T @ (targets * weight))
+    shares = times.sum() / len(names) / times
+    parts = sample.mapInArrow(_equations(names, marks, root, shares), "l binary, r binary").collect()
+    left = sum(np.frombuffer(r["l"]).reshape(root.shape[1], -1) for r in parts)
+    right = sum(np.frombuffer(r["r"]).reshape(root.shape[1], -1) for r in parts)
+    solved = np.linalg.solve(left + ridge * times.sum() * np.eye(len(left)) / 10, right)
     return Model(names, marks, (root @ solved).astype(np.float32))
 
 
-def fit(documents: DataFrame, per_language: int = 250, pieces: int = 2) -> Model:
+def fit(documents: DataFrame, per_language: int = 250) -> Model:
     """Learns from text and lang of the rows whose crc32 of the id, mod 4, is not 2."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
         "doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~fold("doc_id", 2, 4))
@@ -107,13 +159,10 @@ def fit(documents: DataFrame, per_language: int = 250, pieces: int = 2) -> Model
     for keys in (["lang", "_part"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))
         ids = ids.withColumn("_rank", rank).where(F.col("_rank") <= per_language).drop("_rank")
-    count = F.greatest(F.lit(1), F.round(F.length("text") / _PASSAGE)).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), F.least(count, F.lit(pieces)) - 1), lambda i: F.substring(
-        F.col("text"), (i * F.greatest(F.length("text") - _PASSAGE, F.lit(0)) / F.greatest(F.least(count, F.lit(pieces)) - 1, F.lit(1))).cast("int") + 1, F.lit(_PASSAGE)))
     sample = (rows.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
-              .groupBy("doc_id", "lang").agg(F.max("text").alias("text")).select("doc_id", "lang", F.explode(spread).alias("text"))
-              .where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id", "lang", "text").collect())
-    return fit_passages([r["text"] for r in sample], [r["lang"] for r in sample])
+              .groupBy("doc_id", "lang").agg(F.max("text").alias("text")))
+    # one partial sum a task; the order of a task's rows is fixed, so that reruns agree
+    return fit_sample(staged(sample.repartition(_TASKS, "doc_id").sortWithinPartitions("doc_id", "lang")))
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

@@ -12,7 +12,8 @@ per source.  Documents of equal hash (rows that repeat id and text, mainly) are
 taken or left together.
 
 Null texts have size 0 and are returned like all rows.  Rows without a source
-form a source of their own, the last one.
+form a source of their own, the last one.  Columns of ``documents`` that are named like
+a result (size, source_size, target, copies, taken) give way to it.
 """
 
 from __future__ import annotations
@@ -83,7 +84,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     targets = staged(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", F.least(whole, F.lit(most).cast("long")))
-    budgets = plan.where("source_size > 0").select(
+    # a source that its whole copies fill needs no threshold
+    budgets = plan.where("source_size > 0 AND target > whole * source_size").select(
         F.col("source").alias("_source"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(_LEVELS):
         found = _boundary(docs, budgets, level)

@@ -110,18 +110,20 @@ def _deal(width: int, fragments: int):
         where = place(values)
         order = np.lexsort((owner, where))
         values, owner, where = (values[order] >> np.uint64(32)).astype(np.uint32), owner[order], where[order]
-        cut = np.searchsorted(where, np.arange(fragments + 1))
-        among = place(several)
+        among = np.argsort(place(several), kind="stable")
+        several, at = (several[among] >> np.uint64(32)).astype(np.uint32), place(several)[among]
         home = int(ids[0] % np.uint64(fragments))
-        rows = []
-        for f in range(fragments):
-            own = owner[cut[f]:cut[f + 1]]
+        hits, rows = known > 0, []
+        # only fragments that something goes to: no more rows than entries
+        used = np.unique(np.concatenate([where, at, np.array([home] * int(hits.any()), np.int32)]))
+        cuts = zip(used.tolist(), *(np.searchsorted(x, used, side).tolist() for x in (where, at) for side in ("left", "right")))
+        for f, low, high, start, end in cuts:
+            own = owner[low:high]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
-            hits = known > 0 if f == home else np.zeros(len(ids), bool)
+            mine = hits & (f == home)
             rows.append((f, ids[own[first]].tobytes(), np.diff(np.append(first, len(own))).astype(np.uint32).tobytes(),
-                         values[cut[f]:cut[f + 1]].tobytes(),
-                         (several[among == f] >> np.uint64(32)).astype(np.uint32).tobytes(),
-                         ids[hits].tobytes(), known[hits].astype(np.uint32).tobytes()))
+                         values[low:high].tobytes(), several[start:end].tobytes(),
+                         ids[mine].tobytes(), known[mine].astype(np.uint32).tobytes()))
         names = ["fragment", "sets", "counts", "vals", "several", "known", "shared"]
         types = [pa.int32()] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)

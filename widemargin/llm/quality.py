@@ -8,11 +8,12 @@ dictionary, turns the difference into a score, at the share that the classes hav
 among all labels.
 
 The labelled sample is bounded: ``per_class`` texts of each class, the first by
-hash of the id, half for the dictionaries (``pieces`` evenly spread pieces of
-each), half for the curve.  Everything else covers whole texts of all rows.
+hash of the id, half for the dictionaries, half for the curve, both with their whole
+texts.  Everything else covers whole texts of all rows.
 
 Scores use the text alone.  Null and empty texts have difference 0 and the score
-of that.  Labels that contradict each other, null labels and ids without a row
+of that; very long texts are read chunk by chunk.  Columns besides doc_id and text play
+no part and ``keep_good`` returns them as they are.  Labels that contradict each other, null labels and ids without a row
 teach nothing.  Without both classes every score is 0.5.
 """
 
@@ -46,17 +47,9 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> DataFram
             .groupBy("doc_id", "quality", half.alias("half")).agg(F.max("text").alias("text")))
 
 
-def _pieces(pieces: int):
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            out = []
-            for text in as_bytes(batch.column("text")):
-                starts = (np.linspace(0, len(text) - _PIECE, pieces).astype(int) if len(text) > pieces * _PIECE
-                          else range(0, len(text), _PIECE))
-                out.append([text[i:i + _PIECE] for i in starts])
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(out, pa.list_(pa.binary()))], ["quality", "pieces"])
-    return run
+def _pieces(text: bytes) -> list[bytes]:
+    """The whole text in pieces, the samples of a dictionary."""
+    return [text[i:i + _PIECE] for i in range(0, len(text), _PIECE)]
 
 
 def _dictionary(samples: list[bytes]):
@@ -114,11 +107,11 @@ class Model:
         return np.array([difference(t, good, bad) for t in texts], float)
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500, pieces: int = 8) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     small_batches(documents.sparkSession)
     sample = _sample(documents, labels, per_class)
-    rows = sample.where("half = 0").orderBy("doc_id").mapInArrow(_pieces(pieces), "quality int, pieces array<binary>").collect()
-    text = {q: [bytes(p) for r in rows if r["quality"] == q for p in r["pieces"]] for q in (0, 1)}
+    rows = sample.where("half = 0").orderBy("doc_id").select("quality", "text").collect()
+    text = {q: [p for r in rows if r["quality"] == q for p in _pieces(r["text"].encode())] for q in (0, 1)}
     if not text[0] or not text[1]:
         return Model()
     model = Model(_dictionary(text[1]), _dictionary(text[0]))

@@ -115,13 +115,15 @@ def _send(owner, place, vals, keys, fragments):
         return [keys[owner[first]].tobytes(), np.diff(np.append(first, len(owner))).astype(np.uint32).tobytes(),
                 place.astype(np.uint32).tobytes()]
 
-    where = fragment(vals[order])
-    order = order[np.argsort(where, kind="stable")]
-    cut = np.searchsorted(np.sort(where), np.arange(fragments + 1))
-    among, rows = fragment(several), []
-    for f in range(fragments):
-        own = order[cut[f]:cut[f + 1]]
-        rows.append([f, *grouped(owner[own], place[own]), vals[own].tobytes(), several[among == f].tobytes()])
+    where, at = fragment(vals[order]), fragment(several)
+    order, where = order[np.argsort(where, kind="stable")], np.sort(where)
+    several, at = several[np.argsort(at, kind="stable")], np.sort(at)
+    # only fragments that something goes to: no more rows than entries
+    used, rows = np.unique(np.concatenate([where, at])), []
+    cuts = zip(used.tolist(), *(np.searchsorted(x, used, side).tolist() for x in (where, at) for side in ("left", "right")))
+    for f, low, high, start, end in cuts:
+        own = order[low:high]
+        rows.append([f, *grouped(owner[own], place[own]), vals[own].tobytes(), several[start:end].tobytes()])
     if len(known):  # already an answer: passes through one of the fragments
         rows.append([int(keys[owner[known[0]]] % fragments), *grouped(owner[known], place[known]), b"", b""])
     types = [pa.int32()] + [pa.binary()] * 5
