@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from widemargin.functions.hashing import hash32
 from widemargin.operators import features as B, pool as C
 from widemargin.session import cut_lineage, ensure_checkpoint_dir
+from widemargin.sources import artifacts
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -43,6 +44,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/artifacts/{name}-{uuid.uuid4().hex}"
 
 
+def counted(df: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` as an artefact with its key counts: (stored rows, hot keys of ``key``)."""
+    spark = df.sparkSession
+    path = artifacts.write_artifact(df, scratch_path(spark, name), count_keys=(key,))
+    return artifacts.read_artifact(spark, path), artifacts.hot_of(spark, path, key)
+
+
 def h32(seed: str, *columns: str) -> str:
     """SQL text of the seeded hash."""
     joined = ", ".join([seed, *columns])
@@ -222,7 +230,8 @@ w AS (SELECT feature_id, sum(weight * coef) AS weight FROM pool_w JOIN theta USI
 def combined_weights(spark, sf_dir) -> DataFrame:
     """w = W theta of the centroid pool."""
     pool, pool_w = clean_vector_pool(spark, sf_dir)
-    return C.combine_columns(pool_w, pool_theta(pool))
+    pool_w, wide = counted(pool_w, "pool_w", "col_id")
+    return C.combine_columns(pool_w, pool_theta(pool), wide)
 
 
 # ------------------------------------------------- histories made from the tables

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from registry.base import (DOCS_Y, ORDER_CTES, TEXT_CTES, VECTOR_CTES, fitted_texts, h32, labelled_texts, order_labels,
+from registry.base import (DOCS_Y, ORDER_CTES, TEXT_CTES, VECTOR_CTES, counted, fitted_texts, h32, labelled_texts, order_labels,
                            order_matrix, query, rounded, scratch_path, split_cte, supplier_features, table, text_vocab,
                            texts, vector_matrix, vector_labels)
 from widemargin.operators import features as B
@@ -220,7 +220,8 @@ SELECT model_id, row_id, feature_id, {MATRIX_OUT} FROM om JOIN grp USING (featur
 def _(spark, sf_dir):
     features = supplier_features(spark, sf_dir)
     groups = B.disjoint_feature_groups(features, features.count(), 6, seed=5)
-    return rounded(B.slice_features_set(order_matrix(spark, sf_dir), groups), "value")
+    matrix, hot = counted(order_matrix(spark, sf_dir), "matrix", "feature_id")
+    return rounded(B.slice_features_set(matrix, groups, hot), "value")
 
 
 @query("random_feature_groups", f"WITH {ORDER_CTES}, {PLACES}, {DISJOINT} SELECT model_id, feature_id FROM grp")

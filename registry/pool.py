@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import (ORDER_CTES, VECTOR_CTES, clean_vector_pool, combined_weights, h32, order_matrix, pool_theta,
+from registry.base import (ORDER_CTES, VECTOR_CTES, clean_vector_pool, combined_weights, counted, h32, order_matrix, pool_theta,
                            query, rounded, scratch_path, supplier_features, vector_features, vector_matrix, vector_pool)
 from widemargin.operators import pool as C
 from widemargin.sources import artifacts
@@ -173,7 +173,8 @@ def _(spark, sf_dir):
 @query("project_rows", f"""WITH {VECTOR_CTES}
 SELECT row_id, col_id, round(sum(value * weight), 6) + 0.0 AS z FROM em JOIN pool_w USING (feature_id) GROUP BY 1, 2""")
 def _(spark, sf_dir):
-    return rounded(C.project_rows(vector_matrix(spark, sf_dir), clean_vector_pool(spark, sf_dir)[1]), "z")
+    matrix, hot = counted(vector_matrix(spark, sf_dir), "matrix", "feature_id")
+    return rounded(C.project_rows(matrix, clean_vector_pool(spark, sf_dir)[1], hot), "z")
 
 
 @query("pool_checkpoint", f"WITH {VECTOR_CTES} {FLAT} FROM pool p LEFT JOIN pool_w w2 ON p.col_id = w2.col_id")

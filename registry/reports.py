@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import (HISTORY_CTE, ITERATIONS_CTE, ORDER_CTES, VECTOR_CTES, clean_vector_pool, combined_weights,
+from registry.base import (HISTORY_CTE, ITERATIONS_CTE, ORDER_CTES, VECTOR_CTES, clean_vector_pool, combined_weights, counted,
                            event_history, order_iterations, order_labels, order_matrix, pool_theta, query, rounded,
                            supplier_features, table, vector_features, vector_labels, vector_matrix)
 from widemargin.operators import history as H, metrics as M
@@ -113,7 +113,8 @@ VECTOR_SCORED = f"{VECTOR_CTES}, {SCORED}"
 
 def vector_scores(spark, sf_dir):
     weights = combined_weights(spark, sf_dir)
-    return M.scores(vector_labels(spark, sf_dir), vector_matrix(spark, sf_dir), weights, BIAS), weights
+    matrix, hot = counted(vector_matrix(spark, sf_dir), "matrix", "feature_id")
+    return M.scores(vector_labels(spark, sf_dir), matrix, weights, BIAS, hot), weights
 
 
 # orders scored by a supplier weight; an order without a line scores exactly the bias 0
@@ -127,7 +128,8 @@ opr AS (SELECT *, CASE WHEN score > 0 THEN 1 WHEN score < 0 THEN -1 ELSE 0 END A
 def order_scores(spark, sf_dir):
     weights = (supplier_features(spark, sf_dir).where(F.col("feature_id") % 7 != 3)
                .select("feature_id", (F.col("feature_id") % 7 - 3).cast("double").alias("weight")))
-    return M.scores(order_labels(spark, sf_dir), order_matrix(spark, sf_dir), weights, 0.0)
+    matrix, hot = counted(order_matrix(spark, sf_dir), "matrix", "feature_id")
+    return M.scores(order_labels(spark, sf_dir), matrix, weights, 0.0, hot)
 
 
 @query("predict", f"WITH {ORDER_SCORED} SELECT row_id, y, round(score, 6) + 0.0 AS score, pred, CASE WHEN pred = 0 THEN -1 ELSE pred END AS pred_zero_as FROM opr")

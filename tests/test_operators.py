@@ -98,6 +98,62 @@ def test_quota_sample_matches_a_sort(spark):
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
 
 
+def test_quota_sample_with_all_hashes_in_one_bucket(spark, monkeypatch):
+    """The boundary rows are ranked over all tasks, also when they are the whole group and share one hash."""
+    from widemargin.functions import ranking
+    seen, rank = [], ranking.distributed_rank
+
+    def watched(df, *args):
+        ranked = rank(df, *args)
+        seen.append([r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()])
+        return ranked
+    monkeypatch.setattr(ranking, "distributed_rank", watched)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(-1).alias("y"),
+                                  F.when(F.col("id") % 3 == 0, 12345).otherwise(12346).cast("long").alias("h"))
+    quotas = spark.createDataFrame([(1, 400), (-1, 1999)], "y int, quota long")
+    got = take_per_group(df, ["y"], "h", "id", quotas)
+    want = [r["id"] for y, n in ((1, 400), (-1, 1999)) for r in df.where(F.col("y") == y).orderBy("h", "id").limit(n).collect()]
+    assert set(got.columns) == set(df.columns) and sorted(r["id"] for r in got.collect()) == sorted(want)
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    none = take_per_group(df.limit(0), ["y"], "h", "id", quotas)
+    whole = take_per_group(df, ["y"], "h", "id", quotas.withColumn("quota", F.lit(5000).cast("long")))
+    assert none.count() == 0 and whole.count() == 3000
+    assert sum(seen[0]) == 3000 and len(seen[0]) > 1 and max(seen[0]) < 2000
+
+
+def test_stored_counts_replace_the_count_before_a_join(spark, tmp_path, monkeypatch):
+    """predict and project_rows over an artefact read its cells once, and hot keys are spread by the stored counts."""
+    from widemargin.functions import skew
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 50)
+    cells = spark.range(900).select(F.col("id").alias("row_id"), F.when(F.col("id") < 600, 3).otherwise(F.col("id") % 30).cast("long").alias("feature_id"),
+                                    (F.col("id") % 7 - 3).cast("double").alias("value"))
+    path = artifacts.write_artifact(cells, str(tmp_path / "cells"), feature_buckets=4, count_keys=("feature_id", "row_id"))
+    stored, hot = artifacts.read_artifact(spark, path), artifacts.hot_of(spark, path, "feature_id")
+    assert rows(hot, "feature_id", "slices") == [(3, 13)] and artifacts.hot_of(spark, path, "row_id").count() == 0
+    assert artifacts.key_counts(spark, path, "feature_id").agg(F.sum("n_rows")).first()[0] == 900
+    weights = spark.range(30).select(F.col("id").alias("feature_id"), (F.col("id") - 9).cast("double").alias("weight"))
+    pool_w = weights.withColumn("col_id", F.lit("a")).unionByName(weights.where("feature_id < 9").withColumn("col_id", F.lit("b")))
+    labels = spark.range(901).select(F.col("id").alias("row_id"))
+    for got, want, names in (
+            (M.scores(labels, stored, weights, 0.5, hot), M.scores(labels, cells, weights, 0.5), ("row_id", "score")),
+            (C.project_rows(stored, pool_w, hot), C.project_rows(cells, pool_w), ("row_id", "col_id", "z")),
+            (C.combine_columns(pool_w, spark.createDataFrame([("a", 2.0)], "col_id string, coef double"), hot.limit(0).withColumnRenamed("feature_id", "col_id")),
+             weights.select("feature_id", (2 * F.col("weight")).alias("weight")), ("feature_id", "weight"))):
+        assert rows(got, *names) == rows(want, *names)
+    for got in (M.scores(labels, stored, weights, 0.5, hot), C.project_rows(stored, pool_w, hot)):
+        leaves = got._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|")
+        assert sum("value#" in leaf for leaf in leaves.split("|")) == 1
+        assert sum("Relation" in leaf and "n_rows#" not in leaf for leaf in leaves.split("|")) == 1
+
+
+def test_lengths_of_columns_come_with_their_counts(spark, monkeypatch):
+    from widemargin.functions import skew
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 20)
+    _, w = pool_of(spark, [("wide", k, 2.0) for k in range(100)] + [("thin", 1, 3.0), ("zero", 4, 1e-12)])
+    got = {(r["col_id"], r["feature_id"]): r["weight"] for r in C.normalize_columns(w).collect()}
+    assert len(got) == 102 and got["wide", 7] == pytest.approx(0.1) and got["thin", 1] == 1.0 and got["zero", 4] == pytest.approx(1e-12, rel=1e-3)
+
+
 def test_split_keeps_class_shares(spark):
     labels = spark.range(1000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 4 == 0, 1).otherwise(-1).alias("y"))
     parts = {(r["y"], r["part"]): r["count"] for r in B.stratified_split(labels, 2).groupBy("y", "part").count().collect()}

@@ -43,8 +43,9 @@ def take_per_group(df: DataFrame, groups: list[str], hash_col: str, id_col: str,
 
     ``quotas`` holds one row per group (``groups`` + ``quota``); groups are class
     or sample labels.  A histogram of the hash finds the bucket where the quota
-    is reached; only rows of that bucket are ranked, so a group with most of the
-    rows is never sorted in one task.
+    is reached; only rows of that bucket are ranked, over all tasks by
+    ``distributed_rank``, so neither a group with most of the rows nor a bucket
+    with most of a group is ever sorted in one task.
     """
     width = HASH_RANGE >> bits
     bucketed = df.withColumn("_bucket", F.floor(F.col(hash_col) / F.lit(width)).cast("long"))
@@ -59,8 +60,10 @@ def take_per_group(df: DataFrame, groups: list[str], hash_col: str, id_col: str,
                              F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_rest")))
     hit = bucketed.join(wanted, [*groups, "_bucket"])
     whole = hit.where(F.col("_rest").isNull())
-    within = Window.partitionBy(*groups, "_bucket").orderBy(hash_col, id_col)
-    partial = (hit.where(F.col("_rest").isNotNull())
-               .withColumn("_rn", F.row_number().over(within))
-               .where(F.col("_rn") <= F.col("_rest")).drop("_rn"))
+    edge = distributed_rank(hit.where(F.col("_rest").isNotNull()), [*groups, hash_col, id_col], "_rank")
+    # one boundary bucket per group, so its ranks are consecutive from the group's first
+    starts = edge.groupBy(*groups).agg(F.min("_rank").alias("_start"))
+    same = [F.col(f"e.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
+    partial = (edge.alias("e").join(F.broadcast(starts.alias("s")), same)
+               .where(F.col("_rank") - F.col("_start") < F.col("_rest")).select("e.*").drop("_rank"))
     return whole.unionByName(partial).drop("_bucket", "_rest")

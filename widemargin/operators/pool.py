@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from widemargin.functions.hashing import hash32
 from widemargin.functions.ranking import distributed_rank
-from widemargin.functions.skew import salted_join
+from widemargin.functions.skew import hot_from_counts, salted_join
+from widemargin.session import cut_lineage
 
 POOL_SCHEMA = T.StructType([
     T.StructField("col_id", T.StringType(), False),
@@ -164,9 +165,10 @@ def column_norms(pool_w: DataFrame) -> DataFrame:
 
 def normalize_columns(pool_w: DataFrame, tol: float = 1e-9) -> DataFrame:
     """Columns scaled to unit length; a column shorter than ``tol`` is left as it is."""
-    norms = column_norms(pool_w)
+    # one row per column, with its length: the same aggregate tells which columns are wide
+    norms = cut_lineage(pool_w.groupBy("col_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.count(F.lit(1)).alias("n_weights")))
     # a wide column may hold most of the rows, so its rows are spread by feature
-    joined = salted_join(pool_w, norms, "col_id", "feature_id")
+    joined = salted_join(pool_w, norms.select("col_id", "norm"), "col_id", "feature_id", hot_from_counts(norms, "col_id", "n_weights"))
     scaled = F.when(F.col("norm") > tol, F.col("weight") / F.col("norm")).otherwise(F.col("weight"))
     return joined.select("col_id", "feature_id", scaled.alias("weight"))
 

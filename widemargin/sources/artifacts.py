@@ -5,23 +5,46 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from widemargin.functions import skew
+
 STATE_TABLES = ("pool", "pool_w", "theta_history", "run_iterations")
 # what a run needs besides, to go on where it stopped; facts is written last and marks the state as whole
 RESUME_TABLES = ("coefficients", "weights", "duals", "gradient", "facts")
 
 
-def write_artifact(df: DataFrame, path: str, feature_buckets: int | None = None) -> str:
+def write_artifact(df: DataFrame, path: str, feature_buckets: int | None = None, count_keys: tuple[str, ...] = ()) -> str:
     """Store a table.  With ``feature_buckets`` the files are laid out by feature
-    range hash, so that a reader of a few features opens a few folders only."""
+    range hash, so that a reader of a few features opens a few folders only.
+
+    For each of ``count_keys`` the rows per key are counted once, from that column of the stored files, and
+    kept beside the table; joins by the key read them (``hot_of``) in place of a count of their own.
+    """
     if feature_buckets:
         bucketed = df.withColumn("feature_bucket", F.pmod("feature_id", F.lit(feature_buckets)).cast("int"))
         # rows of one bucket stay spread over many tasks: no shuffle before the write
         bucketed.write.mode("overwrite").partitionBy("feature_bucket").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
+    for key in count_keys:
+        stored = df.sparkSession.read.parquet(path)
+        stored.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").parquet(_counts_path(path, key))
     return path
 
 
+def _counts_path(path: str, key: str) -> str:
+    return f"{path.rstrip('/')}_counts/{key}"
+
+
+def key_counts(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, n_rows) of an artefact that was written with ``key`` among its ``count_keys``."""
+    return spark.read.parquet(_counts_path(path, key))
+
+
+def hot_of(spark: SparkSession, path: str, key: str, rows_per_slice: int | None = None) -> DataFrame:
+    """(key, slices) of the keys that ``salted_join`` has to spread, from the stored counts."""
+    return skew.hot_from_counts(key_counts(spark, path, key), key, "n_rows", rows_per_slice or skew.ROWS_PER_SLICE)
+
+
 def read_artifact(spark: SparkSession, path: str, features: list[int] | None = None,
                   feature_buckets: int | None = None) -> DataFrame:
     df = spark.read.parquet(path)
