@@ -191,6 +191,36 @@ def test_blocks_in_tasks_and_as_jobs_agree(spark, planted):
         assert abs(a["objective"] - b["objective"]) <= 2e-3 * a["objective"]
 
 
+def test_large_blocks_are_fitted_at_the_same_time(spark, planted, monkeypatch):
+    """Each of two fits waits for the other: one after another they would end as errors."""
+    import threading
+    matrix, labels, _, _ = planted
+    both, fit = threading.Barrier(2, timeout=120), K.conic_svm
+
+    def waiting(*args, **options):
+        both.wait()
+        return fit(*args, **options)
+    monkeypatch.setattr(K, "conic_svm", waiting)
+    features = spark.range(FEATURES).select(F.col("id").alias("feature_id"))
+    log = K.block_svms_contiguous(matrix, labels, features, 2, tol=1e-2, max_cells=1).log.collect()
+    assert [r["status"] for r in log] == ["success"] * 2
+
+
+def test_memory_of_a_task_per_cell():
+    """A model holds its cells in a few plain arrays; frames with a text and the counts on each cell took over 200 bytes."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    rows, size = 30_000, 8
+    y = np.where(rng.random(rows) < 0.5, 1, -1).astype("int8")
+    cells = {"row_id": np.repeat(np.arange(rows), size), "y": np.repeat(y, size), "feature_id": np.tile(np.arange(size), rows),
+             "value": rng.normal(size=rows * size) + 0.3 * np.repeat(y, size)}
+    tracemalloc.start()
+    fit = K.local_fit("m", cells, (int((y > 0).sum()), int((y < 0).sum())), "norm", 1.0, 1e-2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fit["status"].iloc[0] == "success" and peak <= 130 * rows * size, peak / rows / size
+
+
 def test_failed_block_becomes_a_log_row(spark, planted):
     matrix, labels, _, _ = planted
     doubled = labels.unionByName(labels.withColumn("row_id", F.col("row_id") + 1000))
