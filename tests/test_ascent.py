@@ -127,7 +127,7 @@ def test_blocks_follow_the_length(spark):
     for i, js in enumerate(np.minimum((rng.pareto(0.6, (n, words)) * 3).astype(int), 2999)):
         for j in js:
             cells[i, int(j)] = cells.get((i, int(j)), 0.0) + 1 / np.sqrt(words)
-    matrix = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "row_id long, feature_id long, value double")
+    matrix = spark.createDataFrame([(i, j, float(v)) for (i, j), v in cells.items()], "row_id long, feature_id long, value double")
     labels = spark.createDataFrame([(i, -1 if i % 7 == 0 else 1) for i in range(n)], "row_id long, y int")
     found = A.fit_norm(A.StoredMatrix(matrix, labels, block_cells=-(-len(cells) // 4)), 1.0, 1e-2, max_epochs=25)
     # 0.18 before the duals were rescaled
