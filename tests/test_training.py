@@ -207,7 +207,7 @@ def test_large_blocks_are_fitted_at_the_same_time(spark, planted, monkeypatch):
 
 
 def test_memory_of_a_task_per_cell():
-    """A model holds its cells in a few plain arrays; frames with a text and the counts on each cell took over 200 bytes."""
+    """A model holds its cells in a few plain arrays; frames with a text and the counts on each cell took about twice as much."""
     import tracemalloc
     rng = np.random.default_rng(5)
     rows, size = 30_000, 8
