@@ -132,3 +132,30 @@ def test_blocks_follow_the_length(spark):
     found = A.fit_norm(A.StoredMatrix(matrix, labels, block_cells=-(-len(cells) // 4)), 1.0, 1e-2, max_epochs=25)
     # 0.18 before the duals were rescaled
     assert found.blocks == 4 and found.gap <= 0.1
+
+
+def test_price_works_on_the_rows_that_hold_the_step(spark):
+    """Words of nearly separable texts in several blocks: few rows hold a step, so few epochs meet the bound; a repeated row keeps its own slack."""
+    rng = np.random.default_rng(4)
+    n, words = 400, 30
+    cells = {}
+    for i, js in enumerate(np.minimum((rng.pareto(0.6, (n, words)) * 3).astype(int), 2999)):
+        for j in js:
+            cells[i, int(j)] = cells.get((i, int(j)), 0.0) + 1 / np.sqrt(words)
+    y = np.where(np.arange(n) % 7 == 0, -1, 1)
+    dense = np.zeros((n, 3000))
+    for (i, j), v in cells.items():
+        dense[i, j] = v
+    g = dense.T @ np.where(y > 0, (y < 0).sum() / (y > 0).sum(), -1.0)
+    g /= np.linalg.norm(g)
+    matrix = spark.createDataFrame([(i, j, float(v)) for (i, j), v in cells.items()], "row_id long, feature_id long, value double")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(0, -1)], "row_id long, y int")
+    gradient = spark.createDataFrame([(j, float(v)) for j, v in enumerate(g) if v], "feature_id long, grad double")
+    found = A.fit_price(A.StoredMatrix(matrix, labels, block_cells=-(-len(cells) // 4)), gradient, 1.0, 10.0, None, 1e-2, max_epochs=12)
+    assert found.blocks == 4 and found.status == "optimal"
+    # the second row of id 0 has no cells
+    w, b = weights_of(found, 3000), found.b
+    slack = np.maximum(0, 1 - y * (dense @ w + b)).sum() + max(0.0, 1 + b)
+    assert found.objective == pytest.approx(slack - g @ w, abs=1e-8)
+    pi = found.duals.toPandas()
+    assert len(pi) == n + 1 and pi["pi"].between(0, 1 + 1e-12).all() and abs((pi["y"] * pi["pi"]).sum()) < 1e-9
